@@ -250,6 +250,21 @@ def predict(docs: DataFrame, net: Net | None) -> DataFrame:
     return rows.mapInArrow(_scored(net), f"doc_id {dict(rows.dtypes)['doc_id']}, score double")
 
 
+def _passing(net: Net | None, at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, data, offsets in common.chunks(batch.column(at), 1 << 16):
+                ok = _long_score(net, data, offsets) >= 0.5 if net else np.ones(j - i, bool)
+                yield batch.slice(i, j - i).filter(pa.array(ok))
+
+    return run
+
+
+def passing(docs: DataFrame, net: Net | None) -> DataFrame:
+    """The rows of docs, all columns, that the classifier does not reject."""
+    return docs.mapInArrow(_passing(net, docs.columns.index("text")), docs.schema)
+
+
 def trained(docs: DataFrame, labels: DataFrame) -> Net | None:
     """The network fitted on labelled rows that are not held out."""
     return fit(*sample(docs, labels.filter(~common.held_out(F.col("doc_id"), 3, 1))))

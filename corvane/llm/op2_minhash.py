@@ -218,6 +218,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"))
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, without the near-duplicates of smaller doc_ids. Rows that share a doc_id stay or go together."""
+    gone = near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("g_id")).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("g_id"), "left_anti")
+
+
 def _open_buckets(buckets: DataFrame, found: DataFrame, reps: DataFrame) -> DataFrame:
     """Likely pairs between components within buckets that the stars left open."""
     named = buckets.filter("size > 2").join(found, F.col("rep") == F.col("node"), "left").select("key", "leader", "size", "rep", F.coalesce("component", "rep").alias("component"))

@@ -29,6 +29,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvane.llm import common, deepshallow
@@ -372,6 +373,28 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, with_tex
     return out.unionByName(plain)
 
 
+def without_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
+    """The rows of docs, all columns, with repeated passages cut out of text, and n_chars, if there, counted anew.
+
+    A null text stays null; a document may be left with an empty text.
+    """
+    done = remove_repeats(docs, span, gram, with_text=True)
+    twins = lambda *by: W.partitionBy(*by)
+    done = done.select(F.col("doc_id").alias("r_id"), F.col("sha").alias("r_sha"), "kept_text", F.row_number().over(twins("doc_id", "sha").orderBy("n_removed")).alias("r_nth"))
+    text = F.coalesce("text", F.lit(""))
+    short = F.octet_length(text) < span
+    sha = F.sha2(text.cast("binary"), 256)
+    # the long texts come back from the operator, so only the other columns and short texts travel here
+    rows = docs.select(*(F.col(c) for c in docs.columns if c != "text"), F.when(short, F.col("text")).alias("own_text"), short.alias("own"), sha.alias("own_sha"))
+    rows = rows.withColumn("own_nth", F.row_number().over(twins("doc_id", "own_sha").orderBy("own")))
+    rows = rows.join(done, F.col("doc_id").cast("long").eqNullSafe(F.col("r_id")) & (F.col("own_sha") == F.col("r_sha")) & (F.col("own_nth") == F.col("r_nth")))
+    new = F.when(F.col("own"), F.col("own_text")).otherwise(F.col("kept_text"))
+    rows = rows.withColumn("new_text", new)
+    kinds = dict(docs.dtypes)
+    pick = lambda c: F.col("new_text").alias("text") if c == "text" else F.coalesce(F.length("new_text"), F.lit(0)).cast(kinds[c]).alias(c) if c == "n_chars" else F.col(c)
+    return rows.select(*map(pick, docs.columns))
+
+
 def _joined(batches):
     for batch in batches:
         rows = [(s, 0, 0, b"".join(k)) for s, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
