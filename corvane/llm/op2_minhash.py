@@ -11,10 +11,12 @@ probability.
 Registers are banded (BANDS x ROWS). Documents with equal sets are one class,
 represented by the least doc_id. In a band bucket every class is paired with
 the bucket's least; pairs whose collision-corrected Jaccard estimate allows it
-are confirmed on the full sets. After connected components over those links,
-buckets that still hold different components and more than two classes are
-compared in full, in blocks, within their components only. No step emits all
-pairs of a group: a bucket of n copies costs n pairs.
+are confirmed on the full sets. That is done in three rounds, with connected
+components after each: first the pair that most buckets name, one for each
+class; then the other pairs whose ends are still apart; then buckets that hold
+different components and more than two classes are compared in full, in
+blocks, between components only. No round emits all pairs of a group: n
+near copies of one text cost n pairs.
 
 At a similarity of exactly 0.75 a pair shares no band with probability
 (1 - 0.75^5)^48 < 3e-6, and less above.
@@ -168,8 +170,7 @@ def _estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     left = reps.select(F.col("rep").alias("l"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     right = reps.select(F.col("rep").alias("r"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     both = pairs.join(left, F.col("a") == F.col("l")).join(right, F.col("b") == F.col("r"))
-    near = F.expr(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)")
-    return both.filter(near).select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_likely, "a long, b long").distinct()
+    return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_likely, "a long, b long").distinct()
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -184,6 +185,19 @@ def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return both.select("a", "b", common_n.alias("c"), (F.size("x") + F.size("y") - common_n).alias("u")).filter(100 * F.col("c") >= PERCENT * F.col("u")).filter("u > 0").select("a", "b").distinct()
 
 
+def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    likely = common.staged(_estimated(pairs.select("a", "b"), reps), "near-pairs")
+    return common.staged(_confirmed(likely, docs), "near-links")
+
+
+def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs whose ends are in different components."""
+    left = found.select(F.col("node").alias("l"), F.col("component").alias("ca"))
+    right = found.select(F.col("node").alias("r"), F.col("component").alias("cb"))
+    named = pairs.join(left, F.col("a") == F.col("l"), "left").join(right, F.col("b") == F.col("r"), "left")
+    return named.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -194,22 +208,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     same = (F.col("n") == F.col("k0")) & (F.col("f1") == F.col("k1")) & (F.col("f2") == F.col("k2"))
     reps = common.staged(live.join(of, same & (F.col("doc_id") == F.col("rep"))).select("rep", "n", "sketch"), "near-classes")
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.col("sketch").substr(k * (2 * ROWS) + 1, F.lit(2 * ROWS))))
-    banded = reps.select("rep", F.explode(keys).alias("key"))
-    leaders = banded.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("size")).filter("size > 1").select(F.col("key").alias("b_key"), "leader", "size")
-    buckets = common.staged(banded.join(leaders, F.col("key") == F.col("b_key")).select("key", "leader", "size", "rep"), "near-buckets")
-    stars = buckets.filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    links = common.staged(_confirmed(common.staged(_estimated(stars, reps), "near-pairs"), docs), "near-links")
-    # members of one text's class that have other ids than its representative are linked by that class; ids with several sets join them
-    several = live.join(of, same).filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    banded = reps.select("rep", "n", F.explode(keys).alias("key"))
+    least = F.min(F.struct("rep", "n"))
+    leaders = banded.groupBy("key").agg(least.alias("least"), F.count("*").alias("size")).filter("size > 1").select(F.col("key").alias("b_key"), F.col("least.rep").alias("leader"), F.col("least.n").alias("leader_n"), "size")
+    buckets = common.staged(banded.join(leaders, F.col("key") == F.col("b_key")).select("key", "leader", "leader_n", "size", "rep", "n"), "near-buckets")
+    near = F.expr(f"rep <> leader and 100 * least(n, leader_n) >= {PERCENT} * greatest(n, leader_n)")
+    stars = common.staged(buckets.filter(near).groupBy(F.col("leader").alias("a"), F.col("rep").alias("b")).agg(F.count("*").alias("named")), "near-stars")
+    # ids with several sets are one vertex, and so are the classes that hold them
     shared = common.staged(live.groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1").select(F.col("doc_id").alias("d")), "near-repeats")
-    tied = several.join(shared, F.col("b") == F.col("d"), "left_semi")
-    edges = links.unionByName(tied)
+    several = live.join(of, same).filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    edges = several.join(shared, F.col("b") == F.col("d"), "left_semi")
+    first = stars.groupBy("b").agg(F.max(F.struct("named", (-F.col("a")).alias("a"))).alias("x")).select((-F.col("x.a")).alias("a"), "b")
+    edges = edges.unionByName(_links(first, reps, docs))
+    found = components(edges)
+    edges = edges.unionByName(_links(_apart(stars, found), reps, docs))
     found = components(edges)
-    rest = _open_buckets(buckets, found, reps)
-    more = common.staged(rest, "near-more")
+    more = common.staged(_open_buckets(buckets, found, reps), "near-more")
     if not more.isEmpty():
-        more = common.staged(_confirmed(more, docs), "near-links")
-        found = components(edges.unionByName(more))
+        found = components(edges.unionByName(common.staged(_confirmed(more, docs), "near-links")))
     comp = found.select(F.col("node"), "component")
     per_class = of.join(comp, F.col("rep") == F.col("node"), "left").select("k0", "k1", "k2", F.coalesce("component", "rep").alias("class_component"))
     out = made.join(per_class, same & F.col("doc_id").isNotNull(), "left")
