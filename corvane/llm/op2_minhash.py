@@ -30,6 +30,7 @@ table gives an empty result. Other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,8 +44,8 @@ from corvane.llm.components import components
 SHINGLE, REGISTERS, MANTISSA, BANDS, ROWS = 5, 240, 10, 48, 5
 #: Links: 100 * intersection >= PERCENT * union. Estimates under FLOOR, five standard deviations lower, are not confirmed.
 PERCENT, FLOOR = 75, 0.60
-#: Buckets up to this size are compared pair by pair in a join, larger ones in blocks.
-SMALL, BLOCK = 16, 256
+#: Clusters up to this size are compared in one group, larger ones in blocks.
+SMALL, BLOCK = 64, 256
 _U = np.uint64
 _MULTIPLIERS = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -149,20 +150,41 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([x.column(0).filter(pa.array(ok)), x.column(1).filter(pa.array(ok))], ["a", "b"])
 
 
-def _block_pairs(group: pa.Table) -> pa.Table:
-    """Of one bucket and two of its blocks: likely pairs between different components."""
-    ids, comp, n, block = (group.column(c).to_numpy() for c in ("rep", "component", "n", "block"))
-    sk = _matrix(group.column("sketch").combine_chunks() if isinstance(group.column("sketch"), pa.ChunkedArray) else group.column("sketch"))
-    lo, hi = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-    left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-    a, b = [], []
+def _linked(ids, comp, n, sk, sets, left, right, out) -> None:
+    """Append links between different components, confirmed on the full sets; linked components merge at once."""
     for k in left:
-        r = right[(comp[right] != comp[k]) & (ids[right] > ids[k] if lo == hi else ids[right] != ids[k]) & (100 * np.minimum(n[right], n[k]) >= PERCENT * np.maximum(n[right], n[k]))]
-        if len(r):
-            r = r[estimate(sk[k][None, :], sk[r], np.full(len(r), n[k]), n[r]) >= FLOOR]
-            a.append(np.full(len(r), ids[k])), b.append(ids[r])
-    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        r = right[(comp[right] != comp[k]) & (100 * np.minimum(n[right], n[k]) >= PERCENT * np.maximum(n[right], n[k]))]
+        if not len(r):
+            continue
+        e = estimate(sk[k][None, :], sk[r], np.full(len(r), n[k]), n[r])
+        for j in r[e >= FLOOR][np.argsort(-e[e >= FLOOR], kind="stable")]:
+            if comp[j] == comp[k]:
+                continue
+            c = len(np.intersect1d(sets[k], sets[j], assume_unique=True))
+            if 100 * c >= PERCENT * (n[k] + n[j] - c):
+                out.append((min(ids[k], ids[j]), max(ids[k], ids[j])))
+                comp[comp == comp[j]] = comp[k]
+
+
+def _met(group: pa.Table) -> pa.Table:
+    """Links of one group: small clusters with all their members, or two blocks of a large one."""
+    group = group.combine_chunks()
+    ids, comp, n, block, cluster = (group.column(c).to_numpy().copy() for c in ("rep", "component", "n", "block", "cluster"))
+    sk = np.vstack([np.frombuffer(x, np.uint16) for x in group.column("sketch").to_pylist()])
+    sets = [np.asarray(x.values.to_numpy(), np.int64) for x in group.column("shingles")]
+    out: list[tuple] = []
+    lo, hi = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
+    if lo < 0:
+        order = np.argsort(cluster, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(cluster[order])) + 1):
+            for k in range(len(rows) - 1):
+                _linked(ids, comp, n, sk, sets, rows[k : k + 1], rows[k + 1 :], out)
+    elif lo == hi:
+        for k in range(len(ids) - 1):
+            _linked(ids, comp, n, sk, sets, [k], np.arange(k + 1, len(ids)), out)
+    else:
+        _linked(ids, comp, n, sk, sets, np.flatnonzero(block == lo), np.flatnonzero(block == hi), out)
+    return pa.table([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
 
 
 def _estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -208,12 +230,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     same = (F.col("n") == F.col("k0")) & (F.col("f1") == F.col("k1")) & (F.col("f2") == F.col("k2"))
     reps = common.staged(live.join(of, same & (F.col("doc_id") == F.col("rep"))).select("rep", "n", "sketch"), "near-classes")
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.col("sketch").substr(k * (2 * ROWS) + 1, F.lit(2 * ROWS))))
-    banded = reps.select("rep", "n", F.explode(keys).alias("key"))
-    least = F.min(F.struct("rep", "n"))
-    leaders = banded.groupBy("key").agg(least.alias("least"), F.count("*").alias("size")).filter("size > 1").select(F.col("key").alias("b_key"), F.col("least.rep").alias("leader"), F.col("least.n").alias("leader_n"), "size")
-    buckets = common.staged(banded.join(leaders, F.col("key") == F.col("b_key")).select("key", "leader", "leader_n", "size", "rep", "n"), "near-buckets")
-    near = F.expr(f"rep <> leader and 100 * least(n, leader_n) >= {PERCENT} * greatest(n, leader_n)")
-    stars = common.staged(buckets.filter(near).groupBy(F.col("leader").alias("a"), F.col("rep").alias("b")).agg(F.count("*").alias("named")), "near-stars")
+    banded = reps.select("rep", F.explode(keys).alias("key"))
+    leaders = banded.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("size")).filter("size > 1").select(F.col("key").alias("b_key"), "leader", "size")
+    buckets = common.staged(banded.join(leaders, F.col("key") == F.col("b_key")).select("key", "leader", "size", "rep"), "near-buckets")
+    counted = buckets.filter("rep <> leader").groupBy(F.col("leader").alias("a"), F.col("rep").alias("b")).agg(F.count("*").alias("named"))
+    na, nb = (reps.select(F.col("rep").alias(f"{x}_id"), F.col("n").alias(f"{x}_n")) for x in "ab")
+    near = F.expr(f"100 * least(a_n, b_n) >= {PERCENT} * greatest(a_n, b_n)")
+    stars = common.staged(counted.join(na, F.col("a") == F.col("a_id")).join(nb, F.col("b") == F.col("b_id")).filter(near).select("a", "b", "named"), "near-stars")
     # ids with several sets are one vertex, and so are the classes that hold them
     shared = common.staged(live.groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1").select(F.col("doc_id").alias("d")), "near-repeats")
     several = live.join(of, same).filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
@@ -223,9 +246,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     found = components(edges)
     edges = edges.unionByName(_links(_apart(stars, found), reps, docs))
     found = components(edges)
-    more = common.staged(_open_buckets(buckets, found, reps), "near-more")
+    more = common.staged(_open_links(buckets, found, reps, docs), "near-more")
     if not more.isEmpty():
-        found = components(edges.unionByName(common.staged(_confirmed(more, docs), "near-links")))
+        found = components(edges.unionByName(more))
     comp = found.select(F.col("node"), "component")
     per_class = of.join(comp, F.col("rep") == F.col("node"), "left").select("k0", "k1", "k2", F.coalesce("component", "rep").alias("class_component"))
     out = made.join(per_class, same & F.col("doc_id").isNotNull(), "left")
@@ -240,24 +263,50 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     return docs.join(gone, F.col("doc_id").cast("long") == F.col("g_id"), "left_anti")
 
 
-def _open_buckets(buckets: DataFrame, found: DataFrame, reps: DataFrame) -> DataFrame:
-    """Likely pairs between components within buckets that the stars left open."""
-    named = buckets.filter("size > 2").join(found, F.col("rep") == F.col("node"), "left").select("key", "leader", "size", "rep", F.coalesce("component", "rep").alias("component"))
+def _open_links(buckets: DataFrame, found: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links between components that share a bucket of more than two classes.
+
+    Classes that meet in open buckets form clusters. A cluster's members are
+    compared with each other where their sizes allow a link, large clusters in
+    blocks by size class: a block meets those of its own and the next class
+    only. Pairs are tested and confirmed inside the task, which returns links.
+    """
+    named = buckets.filter("size > 2").join(found, F.col("rep") == F.col("node"), "left").select("key", "leader", "rep", F.coalesce("component", "rep").alias("component"))
     mixed = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select(F.col("key").alias("m_key"))
-    left = common.staged(named.join(mixed, F.col("key") == F.col("m_key"), "left_semi"), "near-open")
-    small = left.filter(F.col("size") <= SMALL)
-    other = small.select(F.col("key").alias("o_key"), F.col("rep").alias("o_rep"), F.col("component").alias("o_component"))
-    # the bucket's leader has met everyone already
-    pairs = small.join(other, (F.col("key") == F.col("o_key")) & (F.col("rep") < F.col("o_rep")) & (F.col("component") != F.col("o_component")) & (F.col("rep") != F.col("leader")))
-    near = _estimated(pairs.select(F.col("rep").alias("a"), F.col("o_rep").alias("b")).distinct(), reps)
-    large = left.filter(F.col("size") > SMALL)
-    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-    large = large.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("rep"), blocks).cast("int")})
-    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
-    dealt = large.select("key", "rep", "component", "block", F.inline(meets))
-    sketches = reps.select(F.col("rep").alias("s_rep"), "n", "sketch")
-    dealt = dealt.join(sketches, F.col("rep") == F.col("s_rep")).select("key", "i", "j", "rep", "component", "block", "n", "sketch")
-    return near.unionByName(dealt.groupBy("key", "i", "j").applyInArrow(_block_pairs, "a long, b long")).distinct()
+    left = named.join(mixed, F.col("key") == F.col("m_key"), "left_semi").select(F.col("leader").alias("a"), F.col("rep").alias("b"), "component").distinct()
+    left = common.staged(left, "near-open")
+    grouped = components(left.filter("a <> b").select("a", "b"))
+    cluster = grouped.select("node", F.col("component").alias("cluster"))
+    members = left.select("b", "component").distinct().join(cluster, F.col("b") == F.col("node"), "left").select(F.col("b").alias("rep"), "component", F.coalesce("cluster", "b").alias("cluster"))
+    sizes = members.join(reps.select(F.col("rep").alias("s_rep"), "n"), F.col("rep") == F.col("s_rep")).drop("s_rep")
+    sizes = common.staged(sizes.withColumn("grade", F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / PERCENT))).cast("int")), "near-clusters")
+    total = sizes.groupBy("cluster").agg(F.count("*").alias("members")).withColumnRenamed("cluster", "t")
+    sizes = sizes.join(total, F.col("cluster") == F.col("t")).drop("t")
+    columns = ["lo", "hi", "cluster", "block", "rep", "component", "n"]
+    deals = max(1, sizes.filter(F.col("members") <= SMALL).count() // 4000)
+    small = sizes.filter(F.col("members") <= SMALL).withColumns({"lo": F.lit(-1), "hi": F.lit(0), "block": F.lit(0)})
+    small = small.withColumn("deal", F.pmod(F.xxhash64("cluster"), F.lit(deals)))
+    large = sizes.filter(F.col("members") > SMALL)
+    per = large.groupBy("cluster", "grade").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    at = lambda step, name: per.select(F.col("cluster").alias(f"{name}_c"), (F.col("grade") - step).alias(f"{name}_g"), F.col("blocks").alias(name))
+    for step, name in ((0, "same"), (1, "above"), (-1, "below")):
+        large = large.join(at(step, name), (F.col("cluster") == F.col(f"{name}_c")) & (F.col("grade") == F.col(f"{name}_g")), "left").drop(f"{name}_c", f"{name}_g")
+    own = F.pmod(F.xxhash64("rep"), F.col("same")).cast("int")
+    # a block's number holds its grade, so numbers of the next grade are larger
+    number = lambda grade, k: (grade * F.lit(1 << 16) + k).cast("int")
+    large = large.withColumn("block", number(F.col("grade"), own))
+    upto = lambda n: F.when(F.coalesce(n, F.lit(0)) > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    here = F.transform(upto(F.col("same")), lambda k: number(F.col("grade"), k))
+    up = F.transform(upto(F.col("above")), lambda k: number(F.col("grade") + 1, k))
+    down = F.transform(upto(F.col("below")), lambda k: number(F.col("grade") - 1, k))
+    meets = F.transform(F.concat(here, up, down), lambda k: F.struct(F.least(k, F.col("block")).alias("lo"), F.greatest(k, F.col("block")).alias("hi")))
+    large = large.withColumn("m", F.explode(meets)).withColumns({"lo": F.col("m.lo"), "hi": F.col("m.hi"), "deal": F.col("cluster")})
+    dealt = small.select("deal", *columns).unionByName(large.select("deal", *columns))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sizes.select(F.col("rep").alias("w")), F.col("doc_id") == F.col("w"), "left_semi")
+    sets = common.staged(texts.mapInArrow(_sets, "doc_id long, shingles array<long>"), "near-sets")
+    sketches = reps.select(F.col("rep").alias("s_rep"), "sketch")
+    dealt = dealt.join(sketches, F.col("rep") == F.col("s_rep")).join(sets, F.col("rep") == F.col("doc_id")).select("deal", *columns, "sketch", "shingles")
+    return dealt.groupBy("deal", "lo", "hi").applyInArrow(_met, "a long, b long").distinct()
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
