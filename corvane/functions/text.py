@@ -17,11 +17,14 @@ def ngrams(items: Column, n: int) -> Column:
     return F.when(count > 0, F.transform(F.sequence(F.lit(1), count), lambda i: F.slice(items, i, n))).otherwise(F.array().cast("array<array<string>>"))
 
 
-def shingles(text: Column, n: int = 5) -> Column:
-    """Distinct runs of n words joined by a space; a shorter text is one shingle, an empty one none."""
-    w = words(text)
-    many = F.array_distinct(F.transform(ngrams(w, n), lambda g: F.array_join(g, " ")))
-    return F.when(F.size(w) >= n, many).when(F.size(w) > 0, F.array(F.array_join(w, " "))).otherwise(F.array().cast("array<string>"))
+def shingle_hashes(w: Column, n: int = 5) -> Column:
+    """Sorted distinct hashes of runs of n words; fewer words are one shingle, none give none.
+
+    w is a column of word arrays, materialised before: an expression here would be evaluated once a shingle.
+    """
+    runs = F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.xxhash64(*(F.element_at(w, (i + k).cast("int")) for k in range(n))))
+    none = F.array().cast("array<bigint>")
+    return F.array_sort(F.array_distinct(F.when(F.size(w) >= n, runs).when(F.size(w) > 0, F.array(F.xxhash64(F.array_join(w, " ")))).otherwise(none)))
 
 
 def squeezed(text: Column) -> Column:
@@ -40,9 +43,8 @@ def estimated_tokens(text: Column, per_word: float = 2.28) -> Column:
     return F.ceil(F.lit(per_word) * F.size(word_list(text))).cast("int")
 
 
-def char_grams(text: Column, n: int = 3) -> Column:
-    """All n-character substrings of the squeezed text; a shorter text is one gram, an empty one none."""
-    s = squeezed(text)
+def char_grams(s: Column, n: int = 3) -> Column:
+    """All n-character substrings of an already squeezed text column; a shorter text is one gram, an empty one none."""
     k = F.length(s)
     many = F.transform(F.sequence(F.lit(1), k - n + 1), lambda i: F.substring(s, i, F.lit(n)))
     return F.when(k >= n, many).when(k > 0, F.array(s)).otherwise(F.array().cast("array<string>"))
@@ -52,19 +54,6 @@ def exact_match(a: Column, b: Column) -> Column:
     return squeezed(a) == squeezed(b)
 
 
-def multiset_overlap(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of two arrays."""
-    times = lambda x, g: F.size(F.filter(x, lambda y: y == g))
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda acc, g: acc + F.least(times(a, g), times(b, g)))
-
-
-def char_f1(a: Column, b: Column, n: int = 3) -> Column:
-    """F1 of the character n-gram multisets; 0 if either is empty."""
-    x, y = char_grams(a, n), char_grams(b, n)
-    same = multiset_overlap(x, y).cast("double")
-    return F.when((F.size(x) > 0) & (F.size(y) > 0) & (same > 0), 2 * same / (F.size(x) + F.size(y))).otherwise(F.lit(0.0))
-
-
 def sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
