@@ -36,8 +36,8 @@ from corvane.llm import common, deepshallow
 
 SPAN, GRAM = 100, 32
 #: Bytes of text in a shard, and of text whose anchors share a bucket.
-SHARD = 32 << 20
-_SLICE = 1 << 20
+SHARD, BUCKET = 4 << 20, 16 << 20
+_SLICE = 1 << 18
 _U = np.uint64
 _POS = _U((1 << 21) - 1)
 _MESSAGE = "shard long, bucket long, kind int, payload binary"
@@ -212,8 +212,8 @@ def surroundings(key, texts: pa.Table, messages: pa.Table, span: int, gram: int,
     out["h"], out["doc"], out["tie"], out["pos"] = h, s.ids[doc], s.tie[doc], place - s.offsets[doc]
     out["near"], out["far"] = place - hi, place - lo
     padded = np.concatenate([np.zeros(left, np.uint8), s.data, np.zeros(span, np.uint8)])
-    for at in range(0, len(h), 50_000):
-        x = slice(at, at + 50_000)
+    for at in range(0, len(h), 4096):
+        x = slice(at, at + 4096)
         p = place[x] + left
         back = np.arange(1, left + 1)
         # reversed, the byte next to the anchor first; beyond the strings at hand it is all zero
@@ -229,8 +229,8 @@ def surroundings(key, texts: pa.Table, messages: pa.Table, span: int, gram: int,
 def _distinct(s: Shard, h: np.ndarray, place: np.ndarray, lo: np.ndarray, hi: np.ndarray, span: int) -> np.ndarray:
     """Indices of the first of each distinct surrounding."""
     key = np.empty(len(h), _U)
-    for a in range(0, len(h), 1 << 16):
-        x = slice(a, a + (1 << 16))
+    for a in range(0, len(h), 1 << 12):
+        x = slice(a, a + (1 << 12))
         base = int(lo[x].min())
         part = s.data[base : int(hi[x].max()) + span]
         ph = common.prefix_hash(part)
@@ -344,7 +344,8 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, with_tex
     meta = base.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha"), F.octet_length("text").cast("long").alias("n"))
     meta = common.staged(meta.groupBy("doc_id", "sha", "n").agg(F.count("*").alias("c")), "suffix-copies")
     total = meta.agg(F.sum("n")).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD))
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts, buckets = (max(least, -(-total // size)) for size in (SHARD, BUCKET))
     shard = F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("long")
     order = F.coalesce("doc_id", F.lit(_NULL_ID).cast("long"))
     best = meta.filter(F.col("n") >= span).groupBy("sha").agg(F.min(order).alias("best")).withColumnRenamed("sha", "b_sha")
@@ -355,10 +356,10 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, with_tex
     firsts = firsts.mapInArrow(_joined, _MESSAGE)
     texts = base.filter(F.octet_length("text") >= span).select(shard.alias("shard"), "doc_id", "text")
     cogroup = lambda m, f, schema: texts.groupBy("shard").cogroup(m.groupBy("shard")).applyInArrow(f, schema)
-    told = cogroup(firsts, lambda k, t, m: announce(k, t, m, span, gram, parts), _MESSAGE)
+    told = cogroup(firsts, lambda k, t, m: announce(k, t, m, span, gram, buckets), _MESSAGE)
     again = told.groupBy("bucket").applyInArrow(lambda k, m: pick(k, m), _MESSAGE)
     known = firsts.unionByName(again)
-    near = cogroup(known, lambda k, t, m: surroundings(k, t, m, span, gram, parts), _MESSAGE)
+    near = cogroup(known, lambda k, t, m: surroundings(k, t, m, span, gram, buckets), _MESSAGE)
     settled = near.groupBy("bucket").applyInArrow(lambda k, m: settle(k, m, span, gram), _MESSAGE)
     columns = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, sha string, kept_text string"
     out = cogroup(known.unionByName(settled), lambda k, t, m: cleaned(k, t, m, span, gram, with_text), columns)
