@@ -262,6 +262,7 @@ def _passing(net: Net | None, at: int):
 
 def passing(docs: DataFrame, net: Net | None) -> DataFrame:
     """The rows of docs, all columns, that the classifier does not reject."""
+    common.bounded_batches(docs.sparkSession)
     return docs.mapInArrow(_passing(net, docs.columns.index("text")), docs.schema)
 
 

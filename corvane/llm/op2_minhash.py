@@ -222,6 +222,7 @@ def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept."""
+    common.bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     made = common.staged(rows.mapInArrow(_sketched, "doc_id long, n long, f1 long, f2 long, sketch binary"), "near-sketches")
     live = made.filter("n > 0 and doc_id is not null")

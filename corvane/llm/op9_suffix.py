@@ -340,6 +340,7 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, with_tex
     kept_text leaves out bytes of characters that a removal cuts apart.
     """
     spark = docs.sparkSession
+    common.bounded_batches(spark)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     meta = base.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha"), F.octet_length("text").cast("long").alias("n"))
     meta = common.staged(meta.groupBy("doc_id", "sha", "n").agg(F.count("*").alias("c")), "suffix-copies")
