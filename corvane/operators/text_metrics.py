@@ -30,7 +30,7 @@ def char_f1(pairs: DataFrame, a: str, b: str, keys: list[str], n: int = 3) -> Da
 def gram_counts(texts: DataFrame, key: list[str], column: str, n: int) -> DataFrame:
     """keys, gram, count over word n-grams."""
     rows = texts.select(*key, tx.word_list(F.col(column)).alias("w"))
-    return rows.select(*key, F.explode(tx.ngrams(F.col("w"), n)).alias("g")).groupBy(*key, F.array_join("g", " ").alias("g")).agg(F.count("*").alias("n"))
+    return rows.select(*key, F.explode(tx.ngrams(F.col("w"), n)).alias("gram_")).groupBy(*key, F.array_join("gram_", " ").alias("gram_")).agg(F.count("*").alias("n"))
 
 
 def distinct_n(texts: DataFrame, by: list[str], column: str, orders: tuple[int, ...] = (1, 2, 3, 4)) -> DataFrame:
@@ -57,7 +57,7 @@ def corpus_bleu(pairs: DataFrame, by: list[str], key: str, hyp: str, ref: str, m
     out = lens
     for n in range(1, max_n + 1):
         h, r = gram_counts(pairs, keys, hyp, n), gram_counts(pairs, keys, ref, n).withColumnRenamed("n", "m")
-        p = h.join(r, [*keys, "g"], "left").groupBy(*by).agg(F.sum(F.least(F.col("n"), F.coalesce("m", F.lit(0)))).alias(f"match_{n}"), F.sum("n").alias(f"total_{n}"))
+        p = h.join(r, [*keys, "gram_"], "left").groupBy(*by).agg(F.sum(F.least(F.col("n"), F.coalesce("m", F.lit(0)))).alias(f"match_{n}"), F.sum("n").alias(f"total_{n}"))
         out = out.join(p, by, "left")
     ps = [F.coalesce(F.col(f"match_{n}") / F.nullif(F.col(f"total_{n}"), F.lit(0)), F.lit(0.0)) for n in range(1, max_n + 1)]
     mean = F.when(F.least(*ps) == 0, 0.0).otherwise(F.exp(sum((F.log(F.when(p > 0, p)) for p in ps), F.lit(0.0)) / max_n))
