@@ -29,7 +29,6 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvane.llm import common, deepshallow
@@ -318,59 +317,83 @@ def removed(s: Shard, span: int, gram: int) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def cleaned(key, texts: pa.Table, messages: pa.Table, span: int, gram: int, with_text: bool) -> pa.Table:
+def cleaned(key, texts: pa.Table, messages: pa.Table, span: int, gram: int) -> pa.Table:
     """The shard's results."""
     s = Shard(texts, messages)
     gone = removed(s, span, gram)
-    rows: list[list] = [[], [], [], [], [], [], []]
+    rows: list[list] = [[], [], [], [], []]
     for i in range(len(s.ids)):
         a, b = s.offsets[i], s.offsets[i + 1]
         g = gone[a:b]
-        kept = s.data[a:b][~g].tobytes() if g.any() else s.data[a:b].tobytes()
-        values = (None if s.ids[i] == _NULL_ID else int(s.ids[i]), int(b - a), int(g.sum()), int(g[0]) + int((g[1:] & ~g[:-1]).sum()), hashlib.sha256(kept).hexdigest(), s.sha[i].hex(), kept.decode("utf-8", "ignore") if with_text else None)
+        kept = s.data[a:b][~g] if g.any() else s.data[a:b]
+        values = (None if s.ids[i] == _NULL_ID else int(s.ids[i]), int(b - a), int(g.sum()), int(g[0]) + int((g[1:] & ~g[:-1]).sum()), hashlib.sha256(kept.tobytes()).hexdigest())
         for c, v in zip(rows, values, strict=True):
             c.append(v)
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
-    return pa.table([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "sha", "kept_text"])
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+    return pa.table([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and sha, the SHA-256 of the text; with_text adds kept_text.
-
-    kept_text leaves out bytes of characters that a removal cuts apart.
-    """
-    spark = docs.sparkSession
-    common.bounded_batches(spark)
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    meta = base.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha"), F.octet_length("text").cast("long").alias("n"))
-    meta = common.staged(meta.groupBy("doc_id", "sha", "n").agg(F.count("*").alias("c")), "suffix-copies")
-    total = meta.agg(F.sum("n")).first()[0] or 0
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts, buckets = (max(least, -(-total // size)) for size in (SHARD, BUCKET))
-    shard = F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("long")
-    order = F.coalesce("doc_id", F.lit(_NULL_ID).cast("long"))
-    best = meta.filter(F.col("n") >= span).groupBy("sha").agg(F.min(order).alias("best")).withColumnRenamed("sha", "b_sha")
-    ranked = meta.join(best, F.col("sha") == F.col("b_sha"), "left").withColumn("first", F.coalesce(order == F.col("best"), F.lit(False)))
-    key = F.concat(F.unhex(F.lpad(F.hex(order), 16, "0")), F.unhex("sha"))
-    firsts = ranked.filter("first").groupBy(shard.alias("shard")).agg(F.collect_list(key).alias("keys"))
-    # a shard holds a bounded share of the documents, and so does its list
-    firsts = firsts.mapInArrow(_joined, _MESSAGE)
-    texts = base.filter(F.octet_length("text") >= span).select(shard.alias("shard"), "doc_id", "text")
-    cogroup = lambda m, f, schema: texts.groupBy("shard").cogroup(m.groupBy("shard")).applyInArrow(f, schema)
-    told = cogroup(firsts, lambda k, t, m: announce(k, t, m, span, gram, buckets), _MESSAGE)
-    again = told.groupBy("bucket").applyInArrow(lambda k, m: pick(k, m), _MESSAGE)
-    known = firsts.unionByName(again)
-    near = cogroup(known, lambda k, t, m: surroundings(k, t, m, span, gram, buckets), _MESSAGE)
-    settled = near.groupBy("bucket").applyInArrow(lambda k, m: settle(k, m, span, gram), _MESSAGE)
-    columns = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, sha string, kept_text string"
-    out = cogroup(known.unionByName(settled), lambda k, t, m: cleaned(k, t, m, span, gram, with_text), columns)
+def cleaned_rows(key, texts: pa.Table, messages: pa.Table, span: int, gram: int, columns: list[str]) -> pa.Table:
+    """The shard's rows with all their columns: a first copy with what is left of its text, other copies with none."""
+    s = Shard(texts, messages)
+    gone = removed(s, span, gram)
+    where = {k: i for i, k in enumerate(zip(s.ids.tolist(), s.sha, strict=True))}
+    out: list[str] = []
+    ids = texts.column("doc_id").to_pylist()
+    for at, chunk in _chunks(texts.column("text")):
+        raw, ends = common.text_bytes(chunk)
+        for i in range(len(chunk)):
+            k = where.pop((_NULL_ID if ids[at + i] is None else ids[at + i], hashlib.sha256(raw[ends[i] : ends[i + 1]]).digest()), None)
+            out.append("" if k is None else s.data[s.offsets[k] : s.offsets[k + 1]][~gone[s.offsets[k] : s.offsets[k + 1]]].tobytes().decode("utf-8", "ignore"))
+    made = {"text": pa.array(out, pa.string())}
+    if "n_chars" in columns:
+        made["n_chars"] = pa.array([len(t) for t in out]).cast(texts.column("x_n_chars").type)
+    return pa.table([made.get(c, texts.column(f"x_{c}") if c != "text" else None) for c in columns], names=columns)
+
+
+class _Plan:
+    """Texts by shard and the messages that settle them; whatever reads the texts reads one exchange."""
+
+    def __init__(self, docs: DataFrame, span: int, gram: int, carry: list[str]):
+        spark = docs.sparkSession
+        common.bounded_batches(spark)
+        key, text = F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))
+        base = docs.select(key.alias("doc_id"), text.alias("text"))
+        meta = base.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha"), F.octet_length("text").cast("long").alias("n"))
+        meta = common.staged(meta.groupBy("doc_id", "sha", "n").agg(F.count("*").alias("c")), "suffix-copies")
+        total = meta.agg(F.sum("n")).first()[0] or 0
+        least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        parts, buckets = (max(least, -(-total // size)) for size in (SHARD, BUCKET))
+        shard = lambda c: F.pmod(F.xxhash64(c), F.lit(parts)).cast("long")
+        order = F.coalesce("doc_id", F.lit(_NULL_ID).cast("long"))
+        best = meta.filter(F.col("n") >= span).groupBy("sha").agg(F.min(order).alias("best")).withColumnRenamed("sha", "b_sha")
+        self.ranked = meta.join(best, F.col("sha") == F.col("b_sha"), "left").withColumn("first", F.coalesce(order == F.col("best"), F.lit(False)))
+        name = F.concat(F.unhex(F.lpad(F.hex(order), 16, "0")), F.unhex("sha"))
+        # a shard holds a bounded share of the documents, and so does its list
+        firsts = self.ranked.filter("first").groupBy(shard("doc_id").alias("shard")).agg(F.collect_list(name).alias("keys")).mapInArrow(_joined, _MESSAGE)
+        self.texts = docs.filter(F.octet_length(text) >= span).select(shard(key).alias("shard"), key.alias("doc_id"), text.alias("text"), *(F.col(c).alias(f"x_{c}") for c in carry))
+        told = self.cogroup(firsts, lambda k, t, m: announce(k, t, m, span, gram, buckets), _MESSAGE)
+        again = told.groupBy("bucket").applyInArrow(lambda k, m: pick(k, m), _MESSAGE)
+        known = firsts.unionByName(again)
+        near = self.cogroup(known, lambda k, t, m: surroundings(k, t, m, span, gram, buckets), _MESSAGE)
+        settled = near.groupBy("bucket").applyInArrow(lambda k, m: settle(k, m, span, gram), _MESSAGE)
+        self.messages = known.unionByName(settled)
+
+    def cogroup(self, messages: DataFrame, f, schema) -> DataFrame:
+        return self.texts.groupBy("shard").cogroup(messages.groupBy("shard")).applyInArrow(f, schema)
+
+
+def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    plan = _Plan(docs, span, gram, [])
+    columns = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    out = plan.cogroup(plan.messages, lambda k, t, m: cleaned(k, t, m, span, gram), columns)
     # all other rows: short texts as they are, later copies without anything
-    plain = ranked.withColumn("times", F.col("c") - F.col("first").cast("long")).filter("times > 0")
+    plain = plan.ranked.withColumn("times", F.col("c") - F.col("first").cast("long")).filter("times > 0")
     short = F.col("n") < span
     plain = plain.select(
         "doc_id", F.col("n").alias("n_bytes"), F.when(short, 0).otherwise(F.col("n")).cast("long").alias("n_removed"), F.when(short, 0).otherwise(1).cast("long").alias("n_spans"),
-        F.when(short, F.col("sha")).otherwise(F.lit(hashlib.sha256(b"").hexdigest())).alias("kept_sha256"), "sha", F.lit(None if not with_text else "").cast("string").alias("kept_text"),
-        F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int"))).alias("copy"),
+        F.when(short, F.col("sha")).otherwise(F.lit(hashlib.sha256(b"").hexdigest())).alias("kept_sha256"), F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int"))).alias("copy"),
     ).drop("copy")
     return out.unionByName(plain)
 
@@ -378,23 +401,14 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, with_tex
 def without_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
     """The rows of docs, all columns, with repeated passages cut out of text, and n_chars, if there, counted anew.
 
-    A null text stays null; a document may be left with an empty text.
+    Bytes of characters that a removal cuts apart go with it. A null text stays
+    null; a document may be left with an empty text. The texts travel once,
+    with their rows.
     """
-    done = remove_repeats(docs, span, gram, with_text=True)
-    twins = lambda *by: W.partitionBy(*by)
-    done = done.select(F.col("doc_id").alias("r_id"), F.col("sha").alias("r_sha"), "kept_text", F.row_number().over(twins("doc_id", "sha").orderBy("n_removed")).alias("r_nth"))
-    text = F.coalesce("text", F.lit(""))
-    short = F.octet_length(text) < span
-    sha = F.sha2(text.cast("binary"), 256)
-    # the long texts come back from the operator, so only the other columns and short texts travel here
-    rows = docs.select(*(F.col(c) for c in docs.columns if c != "text"), F.when(short, F.col("text")).alias("own_text"), short.alias("own"), sha.alias("own_sha"))
-    rows = rows.withColumn("own_nth", F.row_number().over(twins("doc_id", "own_sha").orderBy("own")))
-    rows = rows.join(done, F.col("doc_id").cast("long").eqNullSafe(F.col("r_id")) & (F.col("own_sha") == F.col("r_sha")) & (F.col("own_nth") == F.col("r_nth")))
-    new = F.when(F.col("own"), F.col("own_text")).otherwise(F.col("kept_text"))
-    rows = rows.withColumn("new_text", new)
-    kinds = dict(docs.dtypes)
-    pick = lambda c: F.col("new_text").alias("text") if c == "text" else F.coalesce(F.length("new_text"), F.lit(0)).cast(kinds[c]).alias(c) if c == "n_chars" else F.col(c)
-    return rows.select(*map(pick, docs.columns))
+    columns = docs.columns
+    plan = _Plan(docs, span, gram, [c for c in columns if c != "text"])
+    long = plan.cogroup(plan.messages, lambda k, t, m: cleaned_rows(k, t, m, span, gram, columns), docs.schema)
+    return long.unionByName(docs.filter(F.coalesce(F.octet_length("text"), F.lit(0)) < span))
 
 
 def _joined(batches):
