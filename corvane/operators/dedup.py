@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as tx
 from corvane.operators.corpus import keep_order
-from corvane.operators.graph import _cut
+from corvane.operators.graph import cut
 
 SHINGLE, THRESHOLD, PERMUTATIONS = 5, 0.8, 128
 #: Bands and rows for that threshold and number of permutations.
@@ -41,7 +41,7 @@ def set_classes(sets: DataFrame) -> DataFrame:
 
 def class_pairs(sets: DataFrame, classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """a < b, jaccard: representatives whose sets are at least this similar."""
-    reps = _cut(sets.join(classes.filter("id = rep").select("id"), "id", "left_semi"))
+    reps = cut(sets.join(classes.filter("id = rep").select("id"), "id", "left_semi"))
     grams = reps.select("id", F.size("set").alias("n"), F.explode("set").alias("g"))
     rare = grams.groupBy("g").agg(F.count("*").alias("df")).filter("df > 1")
     # a shingle of one set joins nothing: only its place in the order counts, and it comes first
@@ -62,7 +62,7 @@ def class_pairs(sets: DataFrame, classes: DataFrame, threshold: float = THRESHOL
 
 def near_pairs(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """a, b, jaccard: similar class representatives, and each further member of a class with its representative."""
-    sets = _cut(shingle_sets(docs))
+    sets = cut(shingle_sets(docs))
     classes = set_classes(sets)
     copies = classes.filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("jaccard"))
     return class_pairs(sets, classes, threshold).unionByName(copies)
@@ -91,24 +91,24 @@ def survivors(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     order = F.struct(*keep_order(docs)).alias("o")
     rows = docs.select("id", "source", tx.sha256(F.col("text")).alias("sha"), order)
-    sets = _cut(shingle_sets(docs))
+    sets = cut(shingle_sets(docs))
     classes = set_classes(sets)
-    pairs = _cut(class_pairs(sets, classes, threshold))
+    pairs = cut(class_pairs(sets, classes, threshold))
     # texts without words have no set; equal ones still are copies
     rows = rows.join(classes, "id", "left").withColumn("rep", F.coalesce("rep", F.concat(F.lit("text:"), "sha")))
-    rows = _cut(rows.withColumn("first_o", F.min("o").over(W.partitionBy("rep", "source"))))
+    rows = cut(rows.withColumn("first_o", F.min("o").over(W.partitionBy("rep", "source"))))
     nodes = rows.filter(F.col("o") == F.col("first_o")).select("rep", "source", "id", "o")
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "jaccard"))
     mine = nodes.select(F.col("rep").alias("a"), "source", F.col("id").alias("x"), F.col("o").alias("xo"))
     theirs = nodes.select(F.col("rep").alias("b"), F.col("source").alias("y_source"), F.col("id").alias("y"), F.col("o").alias("yo"))
-    edges = _cut(both.join(mine, "a").join(theirs, "b").filter("yo < xo").select("x", "y", "source", "y_source", "jaccard"))
+    edges = cut(both.join(mine, "a").join(theirs, "b").filter("yo < xo").select("x", "y", "source", "y_source", "jaccard"))
     inside = edges.filter("source = y_source").select("x", "y")
-    state = _cut(nodes.join(inside.select(F.col("x").alias("id")).distinct().withColumn("open", F.lit(True)), "id", "left").select("id", F.when(F.col("open"), F.lit(None).cast("boolean")).otherwise(F.lit(True)).alias("kept")))
+    state = cut(nodes.join(inside.select(F.col("x").alias("id")).distinct().withColumn("open", F.lit(True)), "id", "left").select("id", F.when(F.col("open"), F.lit(None).cast("boolean")).otherwise(F.lit(True)).alias("kept")))
     while not state.filter("kept is null").isEmpty():
         seen = inside.join(state.select(F.col("id").alias("y"), F.col("kept").alias("y_kept")), "y")
         view = seen.groupBy("x").agg(F.bool_or(F.coalesce("y_kept", F.lit(False))).alias("beaten"), F.bool_and(F.coalesce(~F.col("y_kept"), F.lit(False))).alias("clear"))
         new = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.col("beaten"), False).when(F.col("clear"), True)
-        state = _cut(state.join(view, state["id"] == view["x"], "left").select("id", new.alias("kept")))
+        state = cut(state.join(view, state["id"] == view["x"], "left").select("id", new.alias("kept")))
     kept = state.filter("kept").select(F.col("id").alias("k"))
     near = edges.join(kept, F.col("y") == F.col("k"), "left_semi")
     best = F.max(F.struct(F.col("jaccard").alias("j"), F.col("y").alias("of")))
@@ -161,7 +161,7 @@ def signatures(docs: DataFrame, permutations: int = PERMUTATIONS, seed: int = 1)
 
 def lsh_candidates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """a, b, estimate: each document with the least id of every band bucket it falls in, and their signatures' agreement."""
-    sig = _cut(signatures(docs).filter("signature is not null"))
+    sig = cut(signatures(docs).filter("signature is not null"))
     keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.xxhash64(k, F.slice("signature", k * rows + 1, rows)))
     banded = sig.select("id", F.explode(keys).alias("key"))
     least = banded.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """End the lineage in the checkpoint folder, setting a temporary one only where none is set."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
@@ -23,7 +23,7 @@ def components(edges: DataFrame) -> DataFrame:
     neighbourhood, small stars the smaller ones; rounds are logarithmic in a
     component's size, and only a count and a checksum reach the driver.
     """
-    e = _cut(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    e = cut(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     sign = None
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -32,7 +32,7 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         low = down.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), "m")
         small = down.join(low, F.col("a") == F.col("k")).select(F.col("m").alias("a"), "b").filter("a <> b")
-        e = _cut(small.unionByName(low.select(F.col("m").alias("a"), F.col("k").alias("b"))).distinct())
+        e = cut(small.unionByName(low.select(F.col("m").alias("a"), F.col("k").alias("b"))).distinct())
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == sign or not now[0]:
             break

@@ -34,10 +34,10 @@ def gram_counts(texts: DataFrame, key: list[str], column: str, n: int) -> DataFr
 
 
 def distinct_n(texts: DataFrame, by: list[str], column: str, orders: tuple[int, ...] = (1, 2, 3, 4)) -> DataFrame:
-    """by, n, total, unique, ratio of distinct word n-grams."""
+    """by, n, total, unique, ratio of distinct word n-grams, told apart by 64-bit hashes."""
     rows = texts.select(*by, tx.word_list(F.col(column)).alias("w"))
     grams = rows.withColumn("n", F.explode(F.array(*map(F.lit, orders)))).filter(F.size("w") >= F.col("n"))
-    grams = grams.select(*by, "n", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1), lambda i: F.array_join(F.slice("w", i, F.col("n")), " "))).alias("g"))
+    grams = grams.select(*by, "n", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1), lambda i: F.xxhash64(F.slice("w", i, F.col("n"))))).alias("g"))
     per = grams.groupBy(*by, "n", "g").agg(F.count("*").alias("c"))
     return per.groupBy(*by, "n").agg(F.sum("c").alias("total"), F.count("*").alias("unique"), (F.count("*").cast("double") / F.sum("c")).alias("ratio"))
 
