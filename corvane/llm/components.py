@@ -8,16 +8,17 @@ from pyspark.sql import functions as F
 from corvane.llm import common
 
 
-def _sign(edges: DataFrame) -> tuple:
-    r = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
-    return r["n"], r["s"]
+def _settled(edges: DataFrame) -> bool:
+    """Whether the edges are stars from least nodes: each upper end once, and no lower end above another."""
+    ends = edges.select(F.inline(F.array(F.struct(F.col("a").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")), F.struct(F.col("b").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")))))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or (up = 1 and down = 1)").isEmpty()
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Link every larger neighbour of a node to the least of the node and its neighbours."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
-    return both.filter("b > a").join(least, F.col("a") == F.col("k")).select(F.col("m").alias("a"), "b").filter("a <> b").distinct()
+    return both.filter("b > a").join(least, F.col("a") == F.col("k")).select(F.col("m").alias("a"), "b").filter("a <> b")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -33,14 +34,9 @@ def components(edges: DataFrame) -> DataFrame:
 
     Rounds are logarithmic in the size of the largest component. Each is a
     staged table, so a lost executor costs no more than its own round, and no
-    part of the graph reaches the driver but a count and a checksum.
+    part of the graph reaches the driver.
     """
     edges = common.staged(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    sign = _sign(edges)
-    while sign[0]:
-        new = common.staged(_small_star(_large_star(edges)), "edges")
-        now = _sign(new)
-        edges, same, sign = new, now == sign, now
-        if same:
-            break
+    while not _settled(edges):
+        edges = common.staged(_small_star(_large_star(edges)), "edges")
     return edges.select(F.col("b").alias("node"), F.col("a").alias("component"))
