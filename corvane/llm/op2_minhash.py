@@ -243,13 +243,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     several = live.join(of, same).filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     edges = several.join(shared, F.col("b") == F.col("d"), "left_semi")
     first = stars.groupBy("b").agg(F.max(F.struct("named", (-F.col("a")).alias("a"))).alias("x")).select((-F.col("x.a")).alias("a"), "b")
-    edges = edges.unionByName(_links(first, reps, docs))
-    found = components(edges)
-    edges = edges.unionByName(_links(_apart(stars, found), reps, docs))
-    found = components(edges)
+    found = components(edges.unionByName(_links(first, reps, docs)))
+    # from here on the stars stand for the edges that made them
+    stars_of = lambda c: c.select(F.col("component").alias("a"), F.col("node").alias("b"))
+    found = components(stars_of(found).unionByName(_links(_apart(stars, found), reps, docs)))
     more = common.staged(_open_links(buckets, found, reps, docs), "near-more")
     if not more.isEmpty():
-        found = components(edges.unionByName(more))
+        found = components(stars_of(found).unionByName(more))
     comp = found.select(F.col("node"), "component")
     per_class = of.join(comp, F.col("rep") == F.col("node"), "left").select("k0", "k1", "k2", F.coalesce("component", "rep").alias("class_component"))
     out = made.join(per_class, same & F.col("doc_id").isNotNull(), "left")
