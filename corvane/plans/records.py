@@ -119,7 +119,7 @@ def log_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Metrics read from text lines; lines of another form are left out."""
     line = "if(c_custkey % 3 = 0, concat('VAL run-', CAST(c_nationkey AS STRING), ' step=10 val_ppl=', CAST(CAST(c_custkey % 100 AS DOUBLE) / 8D AS STRING)), 'warming up')"
     rows = table(spark, sf, "customer").selectExpr("c_custkey AS id", f"{line} AS line").filter(F.col("line").startswith("VAL "))
-    return rows.select("id", F.regexp_extract("line", r"run-(\d+)", 1).cast("long").alias("run"), F.regexp_extract("line", r"val_ppl=(\S+)", 1).cast("double").alias("val_ppl"))
+    return rows.select("id", F.regexp_extract("line", r"run-(\d+)", 1).cast("int").alias("run"), F.regexp_extract("line", r"val_ppl=(\S+)", 1).cast("double").alias("val_ppl"))
 
 
 @query("""SELECT doc_id, trim(text) = trim(text || '  ') AS same, round(exp((n_chars % 40) / 10.0::DOUBLE), 9) AS ppl, round((n_chars % 40) / 10.0::DOUBLE / ln(2::DOUBLE), 9) AS bits FROM documents""")
