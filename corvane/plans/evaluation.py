@@ -232,7 +232,7 @@ def session_windows(spark: SparkSession, sf: str) -> DataFrame:
     return e.groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("session_start"), "n")
 
 
-@query("""SELECT user_id, event_id, arg_max(o.event_id, (o.ts, o.event_id)) AS previous_id FROM events n LEFT JOIN (SELECT user_id AS u, event_id, ts FROM events WHERE event_type = 'purchase') o ON o.u = n.user_id AND o.ts < n.ts GROUP BY user_id, n.event_id""".replace("SELECT user_id, event_id,", "SELECT n.user_id, n.event_id,"))
+@query("""SELECT n.user_id, n.event_id, arg_max(o.event_id, (o.ts, o.event_id)) AS previous_id FROM events n LEFT JOIN (SELECT user_id AS u, event_id, ts FROM events WHERE event_type = 'purchase') o ON o.u = n.user_id AND o.ts < n.ts GROUP BY n.user_id, n.event_id""")
 def asof_previous_event(spark: SparkSession, sf: str) -> DataFrame:
     """For each event the user's latest earlier purchase: one window, no range join."""
     e = table(spark, sf, "events").select("user_id", "event_id", "ts", "event_type")

@@ -45,7 +45,7 @@ def gold_citation_join(spark: SparkSession, sf: str) -> DataFrame:
     return records.gold_chunks(items, _chunks(spark, sf))
 
 
-@query(f"WITH {_CHUNKS} SELECT ord AS id, chunk_id, CASE WHEN ord % 7 = 0 THEN 'missing' ELSE 'differs' END AS state FROM ch WHERE ord % 7 = 0 OR ord % 11 = 0".replace("SELECT ord AS id, chunk_id,", "SELECT ord AS id, CASE WHEN ord % 7 = 0 THEN 'no' || chunk_id ELSE chunk_id END AS chunk_id,"))
+@query(f"WITH {_CHUNKS} SELECT ord AS id, CASE WHEN ord % 7 = 0 THEN 'no' || chunk_id ELSE chunk_id END AS chunk_id, CASE WHEN ord % 7 = 0 THEN 'missing' ELSE 'differs' END AS state FROM ch WHERE ord % 7 = 0 OR ord % 11 = 0")
 def row_index_consistency(spark: SparkSession, sf: str) -> DataFrame:
     c = _chunks(spark, sf)
     rows = c.selectExpr("ord AS id", "if(ord % 7 = 0, concat('no', chunk_id), chunk_id) AS chunk_id", "if(ord % 11 = 0, concat(text, '!'), text) AS text")
