@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -34,10 +36,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_staged: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _drop_staged() -> None:
+    """Staged tables live as long as the driver: results that were built on them may still be read until then."""
+    for spark, path in _staged:
+        with contextlib.suppress(Exception):  # the session may be gone
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet under the shared folder and read it back: the lineage ends there."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/corvane/{uuid.uuid4().hex}-{name}"
+    _staged.append((spark, path))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
