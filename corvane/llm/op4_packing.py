@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from corvane.llm import common
 
 CAPACITY, END = 2048, 0
-#: Rows that a task ranks within one length.
-RANKED = 200_000
+#: Rows that a task ranks within one length at most, about, and groups that a length is dealt to at least.
+RANKED, GROUPS = 200_000, 64
 _encoders: dict[str, object] = {}
 
 
@@ -174,7 +174,7 @@ def pack(cut_up: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Give each row, a piece with its length, a sequence_id and its offset there. cut_up is read more than once: pass a staged table."""
     counts = {int(r["length"]): int(r["n"]) for r in cut_up.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     where = slots(plan(counts, capacity))
-    groups = max(1, sum(counts.values()) // RANKED)
+    groups = max(GROUPS, sum(counts.values()) // RANKED)
     order = ["doc_id", "piece", "start", "ids_crc32"]
     rows = cut_up.withColumn("deal", F.pmod(F.xxhash64(*order), F.lit(groups)))
     before = W.partitionBy("length").orderBy("deal").rowsBetween(W.unboundedPreceding, -1)
