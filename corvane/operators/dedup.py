@@ -9,6 +9,7 @@ of the join and loses no pair.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,8 @@ from corvane.operators.graph import cut
 SHINGLE, THRESHOLD, PERMUTATIONS = 5, 0.8, 128
 #: Bands and rows for that threshold and number of permutations.
 BANDS, ROWS = 9, 13
+#: Classes of a bucket that one block holds, about.
+BUCKET_BLOCK = 256
 
 
 def shingle_sets(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
@@ -139,17 +142,18 @@ def survivors(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return at.select("id", log.alias("l"), (~is_kept).alias("dropped")).filter("l is not null").select("id", F.col("l.of").alias("duplicate_of"), F.col("l.kind").alias("kind"), F.col("l.j").alias("jaccard"), "dropped")
 
 
-def _signed(permutations: int, seed: int):
+def _signed(permutations: int, seed: int, digest: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(seed)
         a = rng.integers(1, 1 << 63, permutations, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         b = rng.integers(0, 1 << 63, permutations, dtype=np.uint64)
         for batch in batches:
-            out = []
+            out, own = [], []
             for s in batch.column(1):
                 h = np.asarray(s.values.to_numpy(), np.int64).view(np.uint64)
                 out.append([int(x) for x in ((h[:, None] * a + b) >> np.uint64(32)).min(axis=0)] if len(h) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], ["id", "signature"])
+                own.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest() if digest else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64())), pa.array(own, pa.binary())][: 2 + digest], ["id", "signature", "digest"][: 2 + digest])
 
     return run
 
@@ -159,13 +163,55 @@ def signatures(docs: DataFrame, permutations: int = PERMUTATIONS, seed: int = 1)
     return shingle_sets(docs).mapInArrow(_signed(permutations, seed), "id string, signature array<long>")
 
 
+def _members(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    column = lambda c: rows.field(c).flatten().to_numpy().reshape(len(rows), -1)
+    return np.array(rows.field("id").to_pylist(), object), column("signature"), column("keys")
+
+
+def _bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of two blocks of a bucket with their signatures' agreement, in the first band that both share."""
+    kinds = {"a": pa.string(), "b": pa.string(), "estimate": pa.float64()}
+    for batch in batches:
+        held, n = [], 0
+
+        def made():
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([h[k] for h in held]), kind) for k, kind in enumerate(kinds.values())], list(kinds))  # noqa: B023
+
+        band, same, left, right = (batch.column(batch.schema.get_field_index(c)) for c in ("band", "same", "l", "r"))
+        for at, own, x, y in zip(band.to_pylist(), same.to_pylist(), left, right):
+            (ids, s, k), (others, t, j) = _members(x.values), _members(y.values)
+            for i in range(len(ids)):
+                to = np.flatnonzero(others > ids[i]) if own else np.arange(len(others))
+                to = to[~(j[to, :at] == k[i, :at]).any(axis=1)]
+                if len(to):
+                    low = others[to] > ids[i]
+                    held.append((np.where(low, ids[i], others[to]), np.where(low, others[to], ids[i]), (t[to] == s[i]).mean(axis=1)))
+                    n += len(to)
+            if n >= 50_000:
+                yield made()
+                held, n = [], 0
+        if n:
+            yield made()
+
+
 def lsh_candidates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """a, b, estimate: each document with the least id of every band bucket it falls in, and their signatures' agreement."""
-    sig = cut(signatures(docs).filter("signature is not null"))
+    """a < b, estimate: the classes of equal sets that share a band bucket, by their least ids, and their signatures' agreement; copies with their class's least id.
+
+    A bucket is dealt into blocks and every two of its blocks meet in a row of
+    their own. Only the first band that two classes share gives the pair.
+    """
+    kind = dict(docs.dtypes)["id"]
+    signed = cut(shingle_sets(docs).mapInArrow(_signed(PERMUTATIONS, 1, True), f"id {kind}, signature array<long>, digest binary").filter("signature is not null"))
+    classes = signed.groupBy("digest").agg(F.min("id").alias("rep"))
+    named = signed.join(classes, "digest").select("id", "rep", "signature")
     keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.xxhash64(k, F.slice("signature", k * rows + 1, rows)))
-    banded = sig.select("id", F.explode(keys).alias("key"))
-    least = banded.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1")
-    pairs = banded.join(least, "key").filter("a <> id").select("a", F.col("id").alias("b")).distinct()
-    x, y = sig.select(F.col("id").alias("a"), F.col("signature").alias("x")), sig.select(F.col("id").alias("b"), F.col("signature").alias("y"))
-    equal = F.aggregate(F.zip_with("x", "y", lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, v: s + v)
-    return pairs.join(x, "a").join(y, "b").select("a", "b", (equal / F.size("x")).alias("estimate"))
+    reps = cut(named.filter("id = rep").select("id", "signature", keys.alias("keys")))
+    banded = reps.select("id", F.posexplode("keys").alias("band", "key"))
+    blocks = banded.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1").select("band", "key", F.ceil(F.col("n") / BUCKET_BLOCK).cast("int").alias("blocks"))
+    dealt = banded.join(blocks, ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    members = cut(dealt.join(reps, "id").groupBy("band", "key", "blocks", "block").agg(F.collect_list(F.struct("id", "signature", "keys")).alias("m")))
+    left = members.select("band", "key", F.col("block").alias("x"), F.col("m").alias("l"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("y"))
+    right = members.select("band", "key", F.col("block").alias("y"), F.col("m").alias("r"))
+    met = left.join(right, ["band", "key", "y"]).select("band", (F.col("x") == F.col("y")).alias("same"), "l", "r")
+    pairs = met.mapInArrow(_bucket_pairs, "a string, b string, estimate double")
+    return pairs.unionByName(named.filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("estimate")))

@@ -1,8 +1,11 @@
 """Queries do the whole job: compared with plain versions over all rows, not with the catalogue's SQL."""
 
+import random
+
 import numpy as np
 from pyspark.sql import functions as F
 
+from corvane.operators import dedup
 from corvane.plans import retrieval
 
 SF = "/root/testdata/sf0.001"
@@ -19,3 +22,26 @@ def test_vector_topk_asks_every_twentieth_vector(spark):
     for r in retrieval.vector_topk_exact(spark, SF).orderBy("qid", "rank").collect():
         got.setdefault(r["qid"], []).append(r["id"])
     assert got == want and 20 in got
+
+
+def test_lsh_candidates_are_all_pairs_of_a_bucket(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "BUCKET_BLOCK", 4)
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(400)]
+    texts = {}
+    for k in range(40):
+        words = list(base)
+        for _ in range(k % 4):
+            words[rng.randrange(400)] = f"x{rng.randrange(1000)}"
+        texts[f"d{k:02d}"] = " ".join(words)
+    texts |= {"alone": "one two three four five six seven", "blank": ""}
+    d = spark.createDataFrame(list(texts.items()), "id string, text string")
+    sig = {r["id"]: r["signature"] for r in dedup.signatures(d).filter("signature is not null").collect()}
+    sets = {r["id"]: tuple(r["set"]) for r in dedup.shingle_sets(d).collect() if r["set"]}
+    rep = {k: min(x for x in sets if sets[x] == s) for k, s in sets.items()}
+    agree = lambda x, y: sum(p == q for p, q in zip(sig[x], sig[y])) / 128
+    meet = lambda x, y: any(sig[x][k * 13 : k * 13 + 13] == sig[y][k * 13 : k * 13 + 13] for k in range(9))
+    classes = sorted(set(rep.values()))
+    want = sorted([(x, y, agree(x, y)) for x in classes for y in classes if x < y and meet(x, y)] + [(r, k, 1.0) for k, r in rep.items() if k != r])
+    assert len(want) > 300 and len(classes) < 40
+    assert sorted((r["a"], r["b"], r["estimate"]) for r in dedup.lsh_candidates(d).collect()) == want
