@@ -243,7 +243,7 @@ SELECT role, count(*) AS n, count(*) FILTER (NOT ends_with(answer, '<|endoftext|
 def truncation_rates(spark: SparkSession, sf: str) -> DataFrame:
     a = table(spark, sf, "conversations").withColumn("answer", F.when(F.col("turn") % 3 == 0, F.col("text")).otherwise(F.concat("text", F.lit("<|endoftext|>"))))
     cut = filters.truncated(F.col("answer"))
-    return a.groupBy("role").agg(F.count("*").alias("n"), F.count_if(cut).alias("truncated"), (F.count_if(cut).cast("double") / F.count("*")).alias("rate"), F.nullif(F.sort_array(F.collect_list(F.when(cut & (F.col("conv_id") < 20), F.col("conv_id")))), F.array().cast("array<bigint>")).alias("ids"))
+    return a.groupBy("role").agg(F.count("*").alias("n"), F.count_if(cut).alias("truncated"), (F.count_if(cut).cast("double") / F.count("*")).alias("rate"), F.nullif(F.sort_array(F.collect_list(F.when(cut, F.col("conv_id")))), F.array().cast("array<bigint>")).alias("ids"))
 
 
 @query("""SELECT l_shipmode_ AS act, count(*) AS n, sum(q) AS total FROM (SELECT l_returnflag AS l_shipmode_, l_quantity AS q FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1) GROUP BY ROLLUP (l_shipmode_)""")

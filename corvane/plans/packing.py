@@ -149,7 +149,7 @@ def mixture_schedule(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT o_orderkey, (o_orderkey % 8)::INT AS rank, o_orderkey // 8 AS turn FROM orders WHERE o_orderkey < 9997 - 9997 % 8 AND o_orderkey // 8 >= 100")
 def rank_shards(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "orders").select("o_orderkey")
-    return mixture.rank_rows(9997, rows, "o_orderkey", 8, 100).select("o_orderkey", "rank", "turn")
+    return mixture.rank_rows(rows.count(), rows, "o_orderkey", 8, 100).select("o_orderkey", "rank", "turn")
 
 
 @query("SELECT k % 1003 AS i, (k % 8)::INT AS rank FROM range(0, 1008) r(k)")

@@ -1,12 +1,15 @@
 """Queries do the whole job: compared with plain versions over all rows, not with the catalogue's SQL."""
 
 import random
+import unicodedata
 
 import numpy as np
-from pyspark.sql import functions as F
+import pytest
 
-from corvane.operators import dedup
-from corvane.plans import retrieval
+from corvane.operators import dedup, records
+from corvane.plans import corpus, evaluation, packing, retrieval
+from corvane.plans import dedup as dedup_plans
+from corvane.plans import records as record_plans
 
 SF = "/root/testdata/sf0.001"
 
@@ -45,3 +48,22 @@ def test_lsh_candidates_are_all_pairs_of_a_bucket(spark, monkeypatch):
     want = sorted([(x, y, agree(x, y)) for x in classes for y in classes if x < y and meet(x, y)] + [(r, k, 1.0) for k, r in rep.items() if k != r])
     assert len(want) > 300 and len(classes) < 40
     assert sorted((r["a"], r["b"], r["estimate"]) for r in dedup.lsh_candidates(d).collect()) == want
+
+
+def test_legs_ranks_and_truncated_ids_are_of_all_rows(spark, tmp_path):
+    orders = spark.read.parquet(f"{SF}/orders.parquet")
+    legs = {}
+    for r in orders.collect():
+        legs.setdefault(f"r{r['o_custkey'] % 9}", []).append((float(r["o_totalprice"]), r["o_orderkey"] % 50 + 1))
+    got = {r["run"]: r for r in evaluation.leg_merge(spark, SF).collect()}
+    assert {k: (r["legs"], r["peak_gb"]) for k, r in got.items()} == {k: (len(v), max(x for x, _ in v)) for k, v in legs.items()}
+    assert all(float(got[k]["s_per_step"]) == pytest.approx(sum(x * n for x, n in v) / sum(n for _, n in v)) for k, v in legs.items())
+    spark.range(20_003).withColumnRenamed("id", "o_orderkey").write.parquet(f"{tmp_path}/orders.parquet")
+    ranked = sorted((r["o_orderkey"], r["rank"], r["turn"]) for r in packing.rank_shards(spark, str(tmp_path)).collect())
+    assert ranked == [(k, k % 8, k // 8) for k in range(800, 20_000)]
+    more = SF.replace("sf0.001", "sf0.01")
+    turns = spark.read.parquet(f"{more}/conversations.parquet").collect()
+    for r in corpus.truncation_rates(spark, more).collect():
+        want = sorted(t["conv_id"] for t in turns if t["role"] == r["role"] and t["turn"] % 3 == 0)
+        assert (r["ids"] or []) == want and r["truncated"] == len(want)
+    assert max(t["conv_id"] for t in turns) >= 20
