@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import unicodedata
 from collections.abc import Iterator
 
@@ -69,6 +70,47 @@ def question_forms(question: str) -> set[str]:
     return out
 
 
+def question_key(question: str) -> str:
+    """SHA-256 of the question in NFC, casefolded, squeezed and without final marks, so that two typings of it share the key."""
+    return hashlib.sha256(" ".join(unicodedata.normalize("NFC", question).casefold().split()).rstrip("?. ").encode()).hexdigest()
+
+
+def keyed(rows: DataFrame, key: str, column: str) -> DataFrame:
+    """key, question_key; null for a null text. Case folding and Unicode forms have no Spark function; Arrow batches."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"k": b["k"], "h": [None if t is None else question_key(t) for t in b["t"]]})
+
+    return rows.select(F.col(key).alias("k"), F.col(column).alias("t")).mapInPandas(run, f"k {dict(rows.dtypes)[key]}, h string").select(F.col("k").alias(key), F.col("h").alias("question_key"))
+
+
+def contaminated(docs: DataFrame, questions: DataFrame) -> DataFrame:
+    """(doc_id, text) and (text) to the doc_ids with a line that is a question.
+
+    A line is one by its key, or by the raw hash of any form of the question.
+    Without questions the check would be empty, which is an error.
+    """
+    if questions.filter("text is not null").isEmpty():
+        raise ValueError("no questions: the overlap check would be empty")
+
+    def guard(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"h": [h for t in b["text"] if t is not None for h in (question_key(t), *(hashlib.sha256(f.encode()).hexdigest() for f in question_forms(t)))]}, dtype=object)
+
+    def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            ids, out = [], []
+            for i, t in zip(b["doc_id"], b["text"]):
+                for h in () if t is None else {h for line in t.split("\n") for h in (question_key(line), hashlib.sha256(line.encode()).hexdigest())}:
+                    ids.append(i), out.append(h)
+            yield pd.DataFrame({"doc_id": pd.Series(ids, dtype=b["doc_id"].dtype), "h": pd.Series(out, dtype=object)})
+
+    found = questions.select("text").mapInPandas(guard, "h string").distinct()
+    lines = docs.select("doc_id", "text").mapInPandas(hashes, f"doc_id {dict(docs.dtypes)['doc_id']}, h string")
+    return lines.join(found, "h", "left_semi").select("doc_id").distinct()
+
+
 def valid_pointer_tokens(tokens: Column) -> Column:
     """Whether a token sequence is within the grammar, by folding a state machine over it.
 

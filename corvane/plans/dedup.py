@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions import text as tx
-from corvane.operators import dedup, graph
+from corvane.operators import dedup, graph, records
 from corvane.plans._tables import docs_cte, documents, duck_words, table
 
 QUERIES, ORACLES = {}, {}
@@ -79,19 +79,12 @@ _KEY = "sha256(rtrim(trim(regexp_replace(lower({0}), '[\\s\\x{{0B}}\\x{{85}}\\p{
 
 @query(f"SELECT item_id, {_KEY.format('text')} AS question_key FROM benchmark")
 def question_keys(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "benchmark").select("item_id", _question_key(F.col("text")).alias("question_key"))
-
-
-def _question_key(text):
-    return tx.sha256(F.regexp_replace(tx.squeezed(F.lower(text)), r"[?. ]+$", ""))
+    return records.keyed(table(spark, sf, "benchmark"), "item_id", "text")
 
 
 @query(f"""WITH k AS (SELECT DISTINCT {_KEY.format('text')} AS k FROM benchmark), s AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
 SELECT d.doc_id FROM documents d WHERE doc_id NOT IN (SELECT doc_id FROM s WHERE {_KEY.format('line')} IN (SELECT k FROM k)) AND source <> 'src3'""")
 def contamination_guard(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents of sources that are not for evaluation only, none of whose lines is a benchmark text by key."""
-    keys = table(spark, sf, "benchmark").select(_question_key(F.col("text")).alias("k")).distinct()
+    """Documents of sources that are not for evaluation only, none of whose lines is a benchmark text by key or by a form's raw hash."""
     docs = table(spark, sf, "documents").filter("source <> 'src3'").select("doc_id", "text")
-    lines = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", _question_key(F.col("line")).alias("k"))
-    hit = lines.join(keys, "k", "left_semi").select("doc_id").distinct()
-    return docs.select("doc_id").join(hit, "doc_id", "left_anti")
+    return docs.select("doc_id").join(records.contaminated(docs, table(spark, sf, "benchmark")), "doc_id", "left_anti")

@@ -67,3 +67,16 @@ def test_legs_ranks_and_truncated_ids_are_of_all_rows(spark, tmp_path):
         want = sorted(t["conv_id"] for t in turns if t["role"] == r["role"] and t["turn"] % 3 == 0)
         assert (r["ids"] or []) == want and r["truncated"] == len(want)
     assert max(t["conv_id"] for t in turns) >= 20
+
+
+def test_contamination_by_unicode_form_and_case(spark, tmp_path):
+    question = "Wann haftet die Straße am Café?"
+    lines = ["clean line", unicodedata.normalize("NFD", question), "WANN HAFTET DIE STRASSE AM CAFÉ", f"  {question[:-1]}. ", question, None]
+    spark.createDataFrame([(k, "src1", t if t is None else f"before\n{t}\nafter") for k, t in enumerate(lines)], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    asked = spark.createDataFrame([(1, question)], "item_id long, text string")
+    asked.write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert sorted(r["doc_id"] for r in dedup_plans.contamination_guard(spark, str(tmp_path)).collect()) == [0, 5]
+    assert dedup_plans.question_keys(spark, str(tmp_path)).collect()[0]["question_key"] == records.question_key("wann haftet die strasse am café")
+    asked.filter("false").write.mode("overwrite").parquet(f"{tmp_path}/benchmark.parquet")
+    with pytest.raises(ValueError, match="empty"):
+        dedup_plans.contamination_guard(spark, str(tmp_path))
