@@ -27,7 +27,7 @@ _CHUNKS = f"""{docs_cte("ord", "id", "citation_id", "text")}, ch AS (SELECT id |
 
 def _chunks(spark: SparkSession, sf: str) -> DataFrame:
     d = documents(spark, sf, "ord", "id", "citation_id", "text")
-    return d.select(F.concat("id", F.lit("#1")).alias("chunk_id"), F.col("id").alias("doc_id"), "ord", "citation_id", F.array(F.concat("citation_id", F.lit(" Satz 1")), F.concat("citation_id", F.lit(" Satz 2"))).alias("labels"), F.substring("text", 1, 100).alias("text"))
+    return d.select(F.concat("id", F.lit("#1")).alias("chunk_id"), F.col("id").alias("doc_id"), "ord", "citation_id", F.array(F.concat("citation_id", F.lit(" Satz 1")), F.concat("citation_id", F.lit(" Satz 2"))).alias("labels"), "text")
 
 
 _ITEMS = "it AS (SELECT item_id, CASE WHEN item_id % 3 = 0 THEN ['src' || (item_id % 20) || ':' || item_id || '#1', 'none#1'] ELSE ['none#2'] END AS explicit, ['L' || (item_id % 200) || ' §' || (item_id % 50), 'L' || ((item_id + 1) % 200) || ' §' || ((item_id + 1) % 50) || ' Satz 2'] AS gold FROM benchmark)"
@@ -138,6 +138,6 @@ def licence_flags(spark: SparkSession, sf: str) -> DataFrame:
 def judge_prompts(spark: SparkSession, sf: str) -> DataFrame:
     """A question with its numbered passages."""
     c = table(spark, sf, "conversations")
-    g = c.groupBy("conv_id").agg(F.min(F.when(F.col("turn") == 0, F.col("text"))).alias("q"), F.array_sort(F.collect_list(F.struct("turn", F.substring("text", 1, 30).alias("t")))).alias("ps"))
+    g = c.groupBy("conv_id").agg(F.min(F.when(F.col("turn") == 0, F.col("text"))).alias("q"), F.array_sort(F.collect_list(F.struct("turn", F.col("text").alias("t")))).alias("ps"))
     lines = F.transform("ps", lambda p: F.concat(F.lit("["), (p["turn"] + 1).cast("string"), F.lit("] "), p["t"]))
     return g.select("conv_id", F.concat(F.lit("Frage: "), F.col("q"), F.lit("\n"), F.array_join(lines, "\n")).alias("prompt"))

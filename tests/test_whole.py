@@ -80,3 +80,17 @@ def test_contamination_by_unicode_form_and_case(spark, tmp_path):
     asked.filter("false").write.mode("overwrite").parquet(f"{tmp_path}/benchmark.parquet")
     with pytest.raises(ValueError, match="empty"):
         dedup_plans.contamination_guard(spark, str(tmp_path))
+
+
+def test_prompts_and_chunks_hold_whole_texts(spark):
+    turns = {}
+    for r in spark.read.parquet(f"{SF}/conversations.parquet").collect():
+        turns.setdefault(r["conv_id"], {})[r["turn"]] = r["text"]
+    want = {c: f"Frage: {t[0]}\n" + "\n".join(f"[{k + 1}] {t[k]}" for k in sorted(t)) for c, t in turns.items() if 0 in t}
+    got = {r["conv_id"]: r["prompt"] for r in record_plans.judge_prompts(spark, SF).collect()}
+    assert {c: p for c, p in got.items() if p is not None} == want and max(len(x) for t in turns.values() for x in t.values()) > 30
+    chunks = record_plans._chunks(spark, SF)
+    whole = {f"{r['source']}:{r['doc_id']}#1": r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert {r["chunk_id"]: r["text"] for r in chunks.collect()} == whole
+    late = chunks.filter("length(text) > 100").limit(1).selectExpr("ord AS id", "chunk_id", "concat(substring(text, 1, 100), '?') AS text")
+    assert [r["state"] for r in records.inconsistent(late, chunks).collect()] == ["differs"]
