@@ -40,7 +40,7 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 def encoder(path: str):
-    """Text to ids, the same as tokenizers gives for this byte-level BPE file without special tokens.
+    """Text to ids, the same as tokenizers gives for this byte-level BPE file, which adds no token of its own but reads the file's added ones in a text.
 
     The file's vocabulary is read as merge ranks. That is valid where merges
     are numbered as their tokens, which is checked, and several times faster
@@ -51,7 +51,10 @@ def encoder(path: str):
         from public_tokenizers import PATTERN
 
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            file = json.load(f)
+        model, added = file["model"], {t["content"]: t for t in file.get("added_tokens", [])}
+        if any(t[flag] for t in added.values() for flag in ("single_word", "lstrip", "rstrip")) or any(a != b and a in b for a in added for b in added):
+            raise ValueError("added tokens that need more than a plain split")
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         letters = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
         vocab = model["vocab"]
@@ -59,7 +62,7 @@ def encoder(path: str):
         if any(vocab[a + b] != 256 + i for i, (a, b) in enumerate(merges)):
             raise ValueError("merges are not numbered in rank order")
         ranks = {bytes(letters[c] for c in token): i for token, i in vocab.items() if i < 256 + len(merges)}
-        _encoders[path] = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        _encoders[path] = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={content: t["id"] for content, t in added.items()})
     return _encoders[path]
 
 
@@ -85,7 +88,7 @@ def _pieces(path: str, capacity: int, with_ids: bool):
 
             for i, text in enumerate(texts):
                 t = text.as_py() or ""
-                tokens = np.append(np.asarray(enc.encode_to_numpy(t) if len(t) else (), "<u4"), np.uint32(END)).astype("<u4")
+                tokens = np.append(np.asarray(enc.encode_to_numpy(t, allowed_special="all") if len(t) else (), "<u4"), np.uint32(END)).astype("<u4")
                 for k, (s, n) in enumerate(cut(len(tokens), capacity)):
                     own = tokens[s : s + n].tobytes()
                     row.append(i), piece.append(k), start.append(s), length.append(n), crc.append(zlib.crc32(own))

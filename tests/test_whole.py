@@ -94,3 +94,15 @@ def test_prompts_and_chunks_hold_whole_texts(spark):
     assert {r["chunk_id"]: r["text"] for r in chunks.collect()} == whole
     late = chunks.filter("length(text) > 100").limit(1).selectExpr("ord AS id", "chunk_id", "concat(substring(text, 1, 100), '?') AS text")
     assert [r["state"] for r in records.inconsistent(late, chunks).collect()] == ["differs"]
+
+
+def test_token_ids_with_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    from corvane.llm import op4_packing
+
+    theirs, rng = Tokenizer.from_file(op4_packing.vocabulary_path()), random.Random(2)
+    texts = ["x<|endoftext|>y", "<|endoftext|>", *("".join(rng.choice(["<|endoftext|>", "<|endoftext|", " ", "aß", "\n", "don't"]) for _ in range(12)) for _ in range(60))]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: list(np.frombuffer(r["ids"], "<u4")) for r in op4_packing.pieces(d, with_ids=True).collect()}
+    assert got == {k: [*theirs.encode(t, add_special_tokens=False).ids, op4_packing.END] for k, t in enumerate(texts)}
