@@ -1,20 +1,23 @@
 """Language identification by cross-parsing entropy.
 
 A suffix automaton per language, built from labelled text, parses a document
-into longest matches. Few long phrases mean that the document resembles the
-language: with c phrases of n bytes and m bytes of labelled text the cross
-entropy is c * log2(m) / n, and the language with the least wins. Whole texts
-are parsed, in lanes of SEGMENT bytes that advance together; a phrase ends at
-a lane's end, the same for every language.
-
-The labelled text is a bounded sample: per language at most SAMPLE_DOCS
-documents (by hash of their id) of at most SAMPLE_CHARS characters each, cut
-to TRAIN_BYTES in all. Everything else covers all documents.
-
-Defined results. A null text, or one without a letter, is `und` with score 0.
-Without any labelled text every document is `und`. Rows that repeat a doc_id
-are scored separately. An empty table gives an empty result. Other columns are
-ignored. Ties go to the language that sorts first.
+into longest matches: a phrase is the longest string of the labelled text that
+the document goes on with, or one symbol where there is none. Few long phrases
+mean that the document resembles the language: with c phrases of n bytes and m
+bytes of labelled text the cross entropy is c * log2(m) / n, and the language
+with the least wins. Whole texts are parsed, each as one chain. The chains run
+in segments side by side: each first from the automaton's root, then again
+from the state that the segment before ends in, as far as the two differ.
+
+The labelled text is a bounded sample of rows: per language at most
+SAMPLE_DOCS documents in the order of a hash of their id, whole texts, until
+they hold TRAIN_BYTES; the one that reaches it is the last and is not cut.
+Everything else covers all documents.
+
+Defined results. A null text, or one without a letter (Unicode category L), is
+`und` with score 0. Without any labelled text every document is `und`. Rows
+that repeat a doc_id are scored separately. An empty table gives an empty
+result. Other columns are ignored. Ties go to the language that sorts first.
 """
 
 from __future__ import annotations
@@ -29,10 +32,15 @@ from pyspark.sql import functions as F
 
 from corvane.llm import common
 
-SAMPLE_DOCS, SAMPLE_CHARS, TRAIN_BYTES, SEGMENT = 64, 2000, 24_000, 256
+SAMPLE_DOCS, TRAIN_BYTES, SEGMENT = 64, 64_000, 512
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
-_PAD, _OTHER, _SPACE, _FIRST = 0, 1, 2, 3
+_LETTER = re.compile(r"[^\W\d_]+")
+_OTHER, _SPACE, _FIRST = 0, 1, 2
+
+
+def lettered(text: str) -> bool:
+    """Whether a character is of Unicode category L; the pattern's matches may be other numbers too."""
+    return any(c.isalpha() for m in _LETTER.finditer(text) for c in m.group())
 
 
 def fold(data: np.ndarray) -> np.ndarray:
@@ -79,15 +87,14 @@ def automaton(symbols: list[int]) -> list[dict[int, int]]:
 
 
 def parser_table(nxt: list[dict[int, int]], size: int) -> np.ndarray:
-    """For state * size + symbol: twice the next state * size, plus 1 where a phrase ends before the symbol."""
+    """For state * size + symbol: twice the next state * size, plus 1 where the symbol begins a phrase. Nothing is matched at the root, so every symbol begins one there."""
     root = np.zeros(size, np.int64)
     for c, s in nxt[0].items():
         root[c] = s
     t = np.tile((root * size * 2 + 1).astype(np.int32), (len(nxt), 1))
-    for s, out in enumerate(nxt):
+    for s, out in enumerate(nxt[1:], start=1):
         for c, to in out.items():
             t[s, c] = to * size * 2
-    t[:, _PAD] = np.arange(len(nxt)) * size * 2
     return t.ravel()
 
 
@@ -102,27 +109,53 @@ class Parser:
         self.tables = [parser_table(automaton(self.symbol[np.frombuffer(v, np.uint8)].tolist()), size) for v in folded.values()]
         self.weight = np.array([np.log2(len(v) + 1) for v in folded.values()])
 
-    def phrases(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    def phrases(self, data: np.ndarray, offsets: np.ndarray, segment: int = SEGMENT) -> np.ndarray:
         """Phrases of each document (row) in each language (column)."""
         n = np.diff(offsets)
-        lanes = -(-n // SEGMENT)
+        lanes = -(-n // segment)
         doc = np.repeat(np.arange(len(n)), lanes)
-        start = offsets[:-1][doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(lanes) - lanes, lanes)) * SEGMENT
-        width = np.minimum(SEGMENT, offsets[1:][doc] - start)
+        nth = np.arange(len(doc)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
+        start = offsets[:-1][doc] + nth * segment
+        width = np.minimum(segment, offsets[1:][doc] - start)
         order = np.argsort(-width, kind="stable")
+        where = np.empty(len(order), np.int64)
+        where[order] = np.arange(len(order))
         start, width, doc = start[order], width[order], doc[order]
-        symbols = np.append(self.symbol[fold(data)], np.zeros(SEGMENT, np.uint8))
+        # the segment that a segment goes on from, itself where a document begins
+        before = np.where(nth[order] > 0, where[np.maximum(order - 1, 0)], np.arange(len(order)))
+        symbols = self.symbol[fold(data)]
         out = np.zeros((len(n), len(self.langs)))
         steps = int(width[0]) if len(width) else 0
         live = [int(np.searchsorted(-width, -k, "left")) for k in range(steps)]
         grid = [symbols[start[:w] + k].astype(np.int32) for k, w in enumerate(live)]
         for j, t in enumerate(self.tables):
-            state, ended = np.zeros(len(doc), np.int32), np.zeros(len(doc), np.int32)
-            for w, c in zip(live, grid, strict=True):
-                v = t[state[:w] + c]
-                ended[:w] += v & 1
-                state[:w] = v >> 1
-            out[:, j] = np.bincount(doc, weights=ended + 1, minlength=len(n))
+            trace = [np.empty(0, np.int32)] * steps
+            state = np.zeros(len(doc), np.int32)
+            for k, (w, c) in enumerate(zip(live, grid, strict=True)):
+                trace[k] = t[state[:w] + c]
+                state[:w] = trace[k] >> 1
+            used = np.zeros(len(doc), np.int32)
+            while True:
+                entry = np.where(before != np.arange(len(doc)), state[before], 0)
+                todo = np.flatnonzero(entry != used)
+                if not len(todo):
+                    break
+                used[todo] = entry[todo]
+                now = entry[todo]
+                for k in range(steps):
+                    todo, now = todo[: (m := int(np.searchsorted(todo, live[k])))], now[:m]
+                    v = t[now + grid[k][todo]]
+                    apart = (v >> 1) != (trace[k][todo] >> 1)
+                    trace[k][todo] = v
+                    last = width[todo] == k + 1
+                    state[todo[last]] = v[last] >> 1
+                    todo, now = todo[apart], v[apart] >> 1
+                    if not len(todo):
+                        break
+            begun = np.zeros(len(doc), np.int32)
+            for w, v in zip(live, trace, strict=True):
+                begun[:w] += v & 1
+            out[:, j] = np.bincount(doc, weights=begun, minlength=len(n))
         return out
 
 
@@ -144,9 +177,9 @@ def _predicted(texts: dict[str, bytes]):
                     h.sort(axis=1)
                     scores = 1 - h[:, 0] / np.maximum(h[:, 1], 1e-9) if h.shape[1] > 1 else np.ones(j - i)
                     raw = data.tobytes()
-                    lettered = [bool(_LETTER.search(raw[a:b].decode("utf-8", "replace"))) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-                    names = [parser.langs[k] if ok else UNKNOWN for k, ok in zip(best, lettered, strict=True)]
-                    scores = np.where(lettered, np.clip(scores, 0, 1), 0.0)
+                    some = [lettered(raw[a:b].decode("utf-8", "replace")) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+                    names = [parser.langs[k] if ok else UNKNOWN for k, ok in zip(best, some, strict=True)]
+                    scores = np.where(some, np.clip(scores, 0, 1), 0.0)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(names, pa.string()), pa.array(scores)], ["doc_id", "lang_pred", "score"])
 
     return run
@@ -162,15 +195,18 @@ def labelled_text(docs: DataFrame) -> dict[str, bytes]:
     # about SAMPLE_DOCS rows a language pass a hash threshold; the few that pass are cut to the number exactly
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 2.0 * SAMPLE_DOCS / n))])
     unit = (F.col("h").cast("double") / F.lit(2.0**64)) + 0.5
-    some = rows.filter(unit < share[F.col("lang")]).select("lang", "h", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    some = rows.filter(unit < share[F.col("lang")]).select("lang", "h", "text")
     got: dict[str, list] = {}
     for r in some.collect():
         got.setdefault(r["lang"], []).append((r["h"], r["text"]))
     out = {}
     for lang, found in got.items():
-        texts = list(dict.fromkeys(t for _, t in sorted(found)))[:SAMPLE_DOCS]
-        each = max(1, TRAIN_BYTES // max(1, len(texts)))
-        out[lang] = b"\n".join(t.encode()[:each] for t in texts)[:TRAIN_BYTES]
+        texts, size = [], 0
+        for t in dict.fromkeys(t.encode() for _, t in sorted(found)):
+            if len(texts) < SAMPLE_DOCS and size < TRAIN_BYTES:
+                texts.append(t)
+                size += len(t)
+        out[lang] = b"\n".join(texts)
     return out
 
 
