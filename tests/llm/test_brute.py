@@ -209,9 +209,9 @@ def test_buckets_prune_without_loss():
     norm = np.sqrt((p.astype(float) ** 2).sum(axis=1))
     order = np.argsort(-norm)
     p, ids = p[order], np.arange(3000)[order]
-    best = op7_topk.Best(np.arange(40) + 10_000, (rng.normal(size=(40, 8)) * 60).astype(np.int32), 5)
+    best = op7_topk.Best(np.arange(40) + 10_000, np.arange(40) + 10_000, (rng.normal(size=(40, 8)) * 60).astype(np.int32), 5)
     for at in range(0, 3000, 500):
-        best.meet(ids[at : at + 500], p[at : at + 500])
+        best.meet(ids[at : at + 500], ids[at : at + 500], p[at : at + 500])
     s = best.q.astype(np.int64) @ p.T.astype(np.int64)
     for r in range(40):
         want = sorted(range(3000), key=lambda j: (-s[r, j], ids[j]))[:5]

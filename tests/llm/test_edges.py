@@ -94,10 +94,18 @@ def test_tokens(spark, docs, empty, tmp_path):
 
 def test_topk(spark):
     nan, inf = float("nan"), float("inf")
-    data = [(0, [1.0, 2.0]), (20, [1.0, 2.0]), (1, [0.5]), (2, None), (3, [None, 1.0]), (4, [nan, 1.0]), (5, [inf, 0.0]), (6, []), (None, [1.0, 1.0]), (7, [-1.0, -2.0]), (7, [-1.0, -2.0]), (8, [1e30, 0.0])]
+    data = [(0, [1.0, 2.0]), (20, [1.0, 2.0]), (1, [0.5]), (2, None), (3, [None, 1.0]), (4, [nan, 1.0]), (5, [inf, 0.0]), (6, []), (None, [1.0, 1.0]), (7, [-1.0, -2.0]), (7, [-1.0, -2.0]), (8, [5e6, 0.0]), (20, [0.0, 1.0])]
     e = spark.createDataFrame(data, "vec_id long, embedding array<float>").withColumns({"score": F.lit(1), "rank": F.lit("r"), "block": F.lit(0)})
     got = [tuple(r) for r in op7_topk.top_k(e, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()]
-    assert [r[2] for r in got if r[0] == 0] == [20, 1, 6, 7] and [r[3] for r in got if r[0] == 0] == [64 * 64 * 5, 32 * 64, 0, -64 * 64 * 5]
+    # large components count, and rows that share an id are separate candidates and queries
+    assert [r[2] for r in got if r[0] == 0] == [8, 20, 20, 1, 6, 7, 7] and [r[3] for r in got if r[0] == 0] == [64 * 64 * 5_000_000, 64 * 64 * 5, 64 * 64 * 2, 32 * 64, 0, -64 * 64 * 5, -64 * 64 * 5]
+    assert len([r for r in got if r[0] == 20]) == 14 and len([r for r in got if r[0] == 20 and r[2] == 20]) == 2
+    huge = spark.createDataFrame([(0, [3e9, 1.0]), (20, [3.0, 2e9]), (1, [1.0, 2.0]), (2, [-1.0, 0.0])], "vec_id long, embedding array<double>")
+    top = {(r["query_id"], r["vec_id"]): r["score"] for r in op7_topk.top_k(huge, F.col("vec_id") % 20 == 0).collect()}
+    scaled = {k: [int(64 * x) for x in v] for k, v in {0: (3e9, 1), 20: (3, 2e9), 1: (1, 2), 2: (-1, 0)}.items()}
+    assert top == {(a, b): sum(x * y for x, y in zip(scaled[a], scaled[b], strict=True)) for a in (0, 20) for b in scaled if a != b}
+    with pytest.raises(Exception, match="larger than a long"):
+        op7_topk.top_k(spark.createDataFrame([(0, [1e30]), (1, [1.0])], "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect()
     assert op7_topk.top_k(e.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
