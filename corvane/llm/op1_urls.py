@@ -6,7 +6,8 @@ was fetched. Among the active matches the most specific pattern decides: a
 path prefix over a host, a host over a domain, then the longer pattern, and on
 equal patterns the allow list.
 
-Defined results. A null or unparsable url, or a null fetch date, matches no
+Defined results. A host is a URL's authority without user info, port and final
+dots, in small letters. A null or unparsable url, or a null fetch date, matches no
 entry and is kept. Entries with a null field, or an action other than add and
 remove, are ignored; on one day the remove of a pattern comes after the add.
 Repeated captures are judged separately. Empty tables give empty results, an
@@ -33,23 +34,32 @@ def intervals(entries: DataFrame) -> DataFrame:
     return day.withColumn("until", F.lead("effective").over(order)).filter("action = 'add'").select("list", "level", "pattern", F.col("effective").alias("since"), "until")
 
 
+#: The scheme, the authority and the path of a URL.
+_URL = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)(/[^?#]*)?"
+
+
 def host_of(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:@]+)", 1))
+    """The authority without user info, port and final dots, in small letters; an IPv6 address keeps its brackets."""
+    authority = F.regexp_extract(url, _URL, 1)
+    place = F.substring_index(authority, "@", -1)
+    bare = F.when(place.startswith("["), F.concat(F.substring_index(place, "]", 1), F.lit("]"))).otherwise(F.substring_index(place, ":", 1))
+    return F.lower(F.rtrim(bare, F.lit(".")))
 
 
 def path_of(url: Column) -> Column:
-    return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#:@]+(?::[0-9]+)?(/[^?#]*)", 1)
+    return F.regexp_extract(url, _URL, 2)
 
 
-def keys(host: Column, path: Column) -> Column:
-    """All (level, pattern) pairs that an entry can match a capture by: its domains, its host, its path's prefixes."""
+def keys(host: Column, path: Column, labels_most: int, steps_most: int) -> Column:
+    """All (level, pattern) pairs that an entry of at most so many labels or steps can match a capture by: its domains, its host, its path's prefixes."""
+    none = F.array().cast("array<struct<level:int,pattern:string>>")
     labels = F.split(host, r"\.")
-    n = F.size(labels)
-    domains = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.lit(DOMAIN).alias("level"), F.array_join(F.slice(labels, i, n), ".").alias("pattern")))
-    steps = F.filter(F.split(path, "/"), lambda x: x != "")
+    n = F.least(F.size(labels), F.lit(labels_most))
+    domains = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.lit(DOMAIN).alias("level"), F.array_join(F.slice(labels, -i, i), ".").alias("pattern")))
+    steps = F.slice(F.filter(F.split(path, "/"), lambda x: x != ""), 1, steps_most) if steps_most else F.array().cast("array<string>")
     prefixes = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.struct(F.lit(PREFIX).alias("level"), F.concat(host, F.lit("/"), F.array_join(F.slice(steps, F.lit(1), i), "/")).alias("pattern")))
     own = F.array(F.struct(F.lit(HOST).alias("level"), host.alias("pattern")))
-    return F.when(host == "", F.array().cast("array<struct<level:int,pattern:string>>")).otherwise(F.concat(domains, own, F.when(F.size(steps) > 0, prefixes).otherwise(F.array().cast("array<struct<level:int,pattern:string>>"))))
+    return F.when(host == "", none).otherwise(F.concat(F.when(n > 0, domains).otherwise(none), own, F.when(F.size(steps) > 0, prefixes).otherwise(none)))
 
 
 def url_filter(captures: DataFrame, entries: DataFrame) -> DataFrame:
@@ -58,12 +68,15 @@ def url_filter(captures: DataFrame, entries: DataFrame) -> DataFrame:
     Captures meet entries by equality on (level, pattern), a shuffle join that
     splits hot hosts at run time; equal keys fetched on the same day are joined
     once, and so a host with a third of all captures costs a row for each
-    distinct path prefix and day.
+    distinct path prefix and day. No key is longer than the list's longest
+    entry of its kind, so a long path costs no more than the list asks for.
     """
+    spans = intervals(entries).select(F.col("list"), F.col("level").alias("e_level"), F.col("pattern").alias("e_pattern"), "since", "until")
+    parts = lambda level, mark: F.coalesce(F.max(F.when(F.col("e_level") == level, F.size(F.split("e_pattern", mark)))), F.lit(0))
+    most = spans.agg(parts(DOMAIN, r"\.").alias("labels"), parts(PREFIX, "/").alias("steps")).first()
     rows = captures.select("id", "url", "fetched").withColumns({"host": F.coalesce(host_of(F.col("url")), F.lit("")), "path": F.coalesce(path_of(F.col("url")), F.lit(""))})
-    rows = rows.withColumn("keys", keys(F.col("host"), F.col("path")))
+    rows = rows.withColumn("keys", keys(F.col("host"), F.col("path"), most["labels"], most["steps"]))
     terms = rows.select("fetched", F.inline("keys")).dropna().distinct()
-    spans = intervals(entries).select(F.col("list"), F.col("level").alias("e_level"), F.col("pattern").alias("e_pattern"), "since", "until")
     active = terms.join(spans, (terms["level"] == spans["e_level"]) & (terms["pattern"] == spans["e_pattern"]) & (spans["since"] <= terms["fetched"]) & (spans["until"].isNull() | (terms["fetched"] < spans["until"])))
     best = F.max(F.struct("level", F.length("pattern").alias("n"), (F.col("list") == "allow").alias("allowed"), "list", "pattern"))
     # one verdict for each distinct (host, path, day), then back to the captures
@@ -108,9 +121,9 @@ def op1_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = f"""
 WITH cap AS (
   SELECT row_number() OVER () AS r, page_id, DATE '2023-01-01' + ((page_id * 37 % 730) + CASE WHEN page_id * 37 % 730 < 0 THEN 730 ELSE 0 END)::INT AS fetched,
-         COALESCE(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:@]+)', 1)), '') AS host,
-         list_filter(string_split(COALESCE(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#:@]+(?::[0-9]+)?(/[^?#]*)', 1), ''), '/'), lambda x: x <> '') AS steps
-  FROM pages),
+         COALESCE(lower(rtrim(CASE WHEN starts_with(place, '[') THEN regexp_extract(place, '^(\\[[^\\]]*)', 1) || ']' ELSE string_split(place, ':')[1] END, '.')), '') AS host,
+         list_filter(string_split(COALESCE(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1), ''), '/'), lambda x: x <> '') AS steps
+  FROM (SELECT *, string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '@')[-1] AS place FROM pages)),
 hosts AS (SELECT DISTINCT host, ('0x' || substr(sha256('list:' || host), 1, 7))::BIGINT AS h FROM cap WHERE host <> ''),
 entries AS (
   SELECT 'block' AS list, {HOST} AS level, host AS pattern, DATE '2023-01-01' + (h % 500)::INT AS effective, 'add' AS action FROM hosts WHERE h % 3 = 0

@@ -2,7 +2,8 @@
 
 Every rule is evaluated once per document. The ledger keeps the measurements
 and one failure bit per rule; policies are versions of a bit mask over it, so
-another policy or an ablation reads only the ledger, never a text.
+another policy or an ablation reads only the ledger, never a text. A word is
+alphabetic if it holds a letter (Unicode category L).
 
 Defined results. A null text has no words and counts 0 everywhere, and so
 fails the base rules. Rows that repeat a doc_id are judged separately. An
@@ -11,6 +12,8 @@ empty table gives an empty ledger. Other columns are ignored.
 
 from __future__ import annotations
 
+import functools
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -84,7 +87,25 @@ def _sums(flags: np.ndarray, borders: np.ndarray) -> np.ndarray:
     return c[borders[1:]] - c[borders[:-1]]
 
 
-_LETTER = common._table_of([*range(ord("a"), ord("z") + 1), *range(ord("A"), ord("Z") + 1), *range(0xC3, 0xF5)])
+_LETTER = common._table_of([*range(ord("a"), ord("z") + 1), *range(ord("A"), ord("Z") + 1)])
+
+
+@functools.cache
+def _letters() -> np.ndarray:
+    """For every code point whether its category is L."""
+    return np.fromiter((unicodedata.category(chr(c))[0] == "L" for c in range(0x110000)), bool, 0x110000)
+
+
+def letters(data: np.ndarray) -> np.ndarray:
+    """For every byte of UTF-8 text whether a letter begins there."""
+    out = _LETTER[data]
+    at = np.flatnonzero(data >= 0xC2)
+    if len(at):
+        seen = np.append(data, np.zeros(3, np.uint8)).astype(np.int32)
+        lead, low = seen[at], [seen[at + k] & 0x3F for k in (1, 2, 3)]
+        point = np.where(lead < 0xE0, (lead & 0x1F) << 6 | low[0], np.where(lead < 0xF0, (lead & 0x0F) << 12 | low[0] << 6 | low[1], (lead & 0x07) << 18 | low[0] << 12 | low[1] << 6 | low[2]))
+        out[at] = _letters()[np.minimum(point, 0x10FFFF)]
+    return out
 
 
 def measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
@@ -97,9 +118,9 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     lead = np.zeros(len(data) + 1, np.int64)
     np.cumsum(~_CONTINUES[data], out=lead[1:])
     chars = lead[end] - lead[start]
-    letters = np.zeros(len(data) + 1, np.int64)
-    np.cumsum(_LETTER[data], out=letters[1:])
-    alpha = (letters[end] - letters[start]) > 0
+    before = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(letters(data), out=before[1:])
+    alpha = (before[end] - before[start]) > 0
     longest = np.zeros(n, np.int64)
     np.maximum.at(longest, doc, chars)
     # windows of three words within one document
@@ -177,7 +198,17 @@ def op3_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(ledger(common.table(spark, sf_dir, "documents")))
 
 
-def _oracle() -> str:
+def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """policy, kept, rule, failed, only_rule for every policy, from one ledger."""
+    book = common.staged(ledger(common.table(spark, sf_dir, "documents")).select("doc_id", "failures"), "rules-ledger")
+    out = []
+    for policy in POLICIES:
+        kept = judge(book, policy).agg(F.count_if("kept").alias("kept"))  # one row
+        out.append(ablations(book, policy).crossJoin(F.broadcast(kept)).select(F.lit(policy).alias("policy"), "kept", "rule", "failed", "only_rule"))
+    return functools.reduce(DataFrame.unionByName, out)
+
+
+def _oracle(ablated: bool = False) -> str:
     bits = " + ".join(f"CASE WHEN {rule} THEN {1 << k} ELSE 0 END" for k, rule in enumerate(RULES.values()))
     return f"""
 WITH words AS (SELECT row_number() OVER () AS r, doc_id, COALESCE(text, '') AS text, regexp_extract_all(COALESCE(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
@@ -189,12 +220,27 @@ dup AS (SELECT r, sum(c)::BIGINT AS n_lines, sum(c - 1)::BIGINT AS n_dup FROM li
 m AS (
   SELECT doc_id, len(w)::BIGINT AS n_words, COALESCE(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
          (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, COALESCE(n_lines, 0)::BIGINT AS n_lines, COALESCE(n_dup, 0)::BIGINT AS n_dup_lines,
-         COALESCE(cov.n, 0)::BIGINT AS n_repeat_words, len(list_filter(w, lambda x: regexp_matches(x, '[A-Za-z\\x{{C0}}-\\x{{10FFFF}}]')))::BIGINT AS n_alpha_words,
+         COALESCE(cov.n, 0)::BIGINT AS n_repeat_words, len(list_filter(w, lambda x: regexp_matches(x, '\\p{{L}}')))::BIGINT AS n_alpha_words,
          COALESCE(list_max(list_transform(w, lambda x: length(x))), 0)::BIGINT AS longest_word
   FROM words LEFT JOIN cov USING (r) LEFT JOIN dup USING (r)),
 bits AS (SELECT *, ({bits})::BIGINT AS failures FROM m)
-SELECT *, (failures & {mask("base")}) <> 0 AS base_failed, (failures & {mask("base") | mask(CURRENT)}) = 0 AS kept, '{CURRENT}' AS policy FROM bits
+{_ablated() if ablated else _judged()}
+"""
+
+
+def _judged() -> str:
+    return f"""SELECT *, (failures & {mask("base")}) <> 0 AS base_failed, (failures & {mask("base") | mask(CURRENT)}) = 0 AS kept, '{CURRENT}' AS policy FROM bits
 """
 
 
-QUERIES, ORACLES = {"op3_rules": op3_rules}, {"op3_rules": _oracle()}
+def _ablated() -> str:
+    """Each policy's rules written out, over documents judged without bits."""
+    parts = []
+    for policy, used in POLICIES.items():
+        for name in used:
+            others = " OR ".join(f"({RULES[r]})" for r in used if r != name)
+            parts.append(f"SELECT '{policy}' AS policy, count(*) FILTER (NOT ({others} OR ({RULES[name]}))) AS kept, '{name}' AS rule, count(*) FILTER ({RULES[name]}) AS failed, count(*) FILTER (({RULES[name]}) AND NOT ({others})) AS only_rule FROM m")
+    return "\nUNION ALL ".join(parts)
+
+
+QUERIES, ORACLES = {"op3_rules": op3_rules, "rule_ablations": rule_ablations}, {"op3_rules": _oracle(), "rule_ablations": _oracle(True)}
