@@ -28,9 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share. Only a local session may go without: it gets a temporary one."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not (spark.sparkContext.master or "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="corvane-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -39,24 +41,66 @@ def shared_dir(spark: SparkSession) -> str:
 _staged: list[tuple[SparkSession, str]] = []
 
 
+def _drop(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may be gone
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 @atexit.register
 def _drop_staged() -> None:
-    """Staged tables live as long as the driver: results that were built on them may still be read until then."""
+    """What results were built on lives as long as the driver: they may still be read until then."""
     for spark, path in _staged:
-        with contextlib.suppress(Exception):  # the session may be gone
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        _drop(spark, path)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path under the shared folder, dropped when the driver ends."""
+    path = f"{shared_dir(spark)}/corvane/{uuid.uuid4().hex}-{name}"
+    _staged.append((spark, path))
+    return path
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet under the shared folder and read it back: the lineage ends there."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/corvane/{uuid.uuid4().hex}-{name}"
-    _staged.append((spark, path))
+    path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def mark() -> int:
+    return len(_staged)
+
+
+def drop_since(since: int) -> None:
+    """Drop all tables staged since a mark but the last, when nothing else of them will be read."""
+    for spark, path in _staged[since:-1]:
+        _drop(spark, path)
+    del _staged[since:-1]
+
+
+#: Parts that the rows of a hot key are dealt to.
+SALTS = 32
+
+
+def salted_join(rows: DataFrame, own: DataFrame, key: str, right: str, by: str, hot: int, keys: DataFrame | None = None) -> DataFrame:
+    """rows joined with own, which has one row a key, on rows[key] = own[right].
+
+    Keys of at least `hot` rows are dealt to SALTS parts by a hash of `by`, and
+    their row of own is sent to each. Only those keys are broadcast: at most
+    the number of rows over `hot`, which the caller chooses accordingly, or
+    passes them (hot_key).
+    """
+    if keys is None:
+        keys = rows.groupBy(F.col(key).alias("hot_key")).agg(F.count("*").alias("n")).filter(F.col("n") >= hot).select("hot_key")
+    dealt = rows.join(F.broadcast(keys), F.col(key) == F.col("hot_key"), "left")
+    dealt = dealt.withColumn("l_salt", F.when(F.col("hot_key").isNotNull(), F.pmod(F.xxhash64(by), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")).drop("hot_key")
+    sent = own.join(F.broadcast(keys), F.col(right) == F.col("hot_key"), "left")
+    sent = sent.withColumn("r_salt", F.explode(F.when(F.col("hot_key").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("hot_key")
+    return dealt.join(sent, (F.col(key) == F.col(right)) & (F.col("l_salt") == F.col("r_salt"))).drop("l_salt", "r_salt")
+
+
 def bounded_batches(spark: SparkSession, size: int = 8 << 20) -> None:
     """Let no Arrow batch of this session hold much more than `size` bytes: texts differ in length by many orders."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -33,10 +33,14 @@ def components(edges: DataFrame) -> DataFrame:
     """(a, b) edges to (node, component): the least node reachable, for every node with an edge except that least one.
 
     Rounds are logarithmic in the size of the largest component. Each is a
-    staged table, so a lost executor costs no more than its own round, and no
-    part of the graph reaches the driver.
+    staged table, so a lost executor costs no more than its own round; the
+    tables of earlier rounds are dropped, and no part of the graph reaches the
+    driver.
     """
-    edges = common.staged(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    while not _settled(edges):
-        edges = common.staged(_small_star(_large_star(edges)), "edges")
-    return edges.select(F.col("b").alias("node"), F.col("a").alias("component"))
+
+    since = common.mark()
+    now = common.staged(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    while not _settled(now):
+        now = common.staged(_small_star(_large_star(now)), "edges")
+        common.drop_since(since)
+    return now.select(F.col("b").alias("node"), F.col("a").alias("component"))

@@ -45,7 +45,7 @@ SHINGLE, REGISTERS, MANTISSA, BANDS, ROWS = 5, 240, 10, 48, 5
 #: Links: 100 * intersection >= PERCENT * union. Estimates under FLOOR, five standard deviations lower, are not confirmed.
 PERCENT, FLOOR = 75, 0.60
 #: Clusters up to this size are compared in one group, larger ones in blocks.
-SMALL, BLOCK = 64, 256
+SMALL, BLOCK, HOT_KEYS = 64, 256, 10_000
 _U = np.uint64
 _MULTIPLIERS = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -150,66 +150,92 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([x.column(0).filter(pa.array(ok)), x.column(1).filter(pa.array(ok))], ["a", "b"])
 
 
-def _linked(ids, comp, n, sk, sets, left, right, out) -> None:
-    """Append links between different components, confirmed on the full sets; linked components merge at once."""
-    for k in left:
-        r = right[(comp[right] != comp[k]) & (100 * np.minimum(n[right], n[k]) >= PERCENT * np.maximum(n[right], n[k]))]
-        if not len(r):
-            continue
-        e = estimate(sk[k][None, :], sk[r], np.full(len(r), n[k]), n[r])
-        for j in r[e >= FLOOR][np.argsort(-e[e >= FLOOR], kind="stable")]:
-            if comp[j] == comp[k]:
-                continue
-            c = len(np.intersect1d(sets[k], sets[j], assume_unique=True))
-            if 100 * c >= PERCENT * (n[k] + n[j] - c):
-                out.append((min(ids[k], ids[j]), max(ids[k], ids[j])))
-                comp[comp == comp[j]] = comp[k]
+def _allowed(k: int, right: np.ndarray, comp: np.ndarray, n: np.ndarray, sk: np.ndarray) -> np.ndarray:
+    """Those of right that are in another component than k and that sizes and sketches allow, likeliest first."""
+    r = right[(comp[right] != comp[k]) & (100 * np.minimum(n[right], n[k]) >= PERCENT * np.maximum(n[right], n[k]))]
+    if not len(r):
+        return r
+    e = estimate(sk[k][None, :], sk[r], np.full(len(r), n[k]), n[r])
+    return r[e >= FLOOR][np.argsort(-e[e >= FLOOR], kind="stable")]
 
 
-def _met(group: pa.Table) -> pa.Table:
-    """Links of one group: small clusters with all their members, or two blocks of a large one."""
-    group = group.combine_chunks()
-    ids, comp, n, block, cluster = (group.column(c).to_numpy().copy() for c in ("rep", "component", "n", "block", "cluster"))
-    sk = np.vstack([np.frombuffer(x, np.uint16) for x in group.column("sketch").to_pylist()])
-    sets = [np.asarray(x.values.to_numpy(), np.int64) for x in group.column("shingles")]
-    out: list[tuple] = []
+def _meetings(group: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+    """Each row of a group with the rows that it is compared with: all of its small cluster, or the other block of a large one."""
+    block, cluster = (group.column(c).to_numpy() for c in ("block", "cluster"))
     lo, hi = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
     if lo < 0:
         order = np.argsort(cluster, kind="stable")
         for rows in np.split(order, np.flatnonzero(np.diff(cluster[order])) + 1):
             for k in range(len(rows) - 1):
-                _linked(ids, comp, n, sk, sets, rows[k : k + 1], rows[k + 1 :], out)
+                yield rows[k], rows[k + 1 :]
     elif lo == hi:
-        for k in range(len(ids) - 1):
-            _linked(ids, comp, n, sk, sets, [k], np.arange(k + 1, len(ids)), out)
+        for k in range(group.num_rows - 1):
+            yield k, np.arange(k + 1, group.num_rows)
     else:
-        _linked(ids, comp, n, sk, sets, np.flatnonzero(block == lo), np.flatnonzero(block == hi), out)
+        right = np.flatnonzero(block == hi)
+        for k in np.flatnonzero(block == lo):
+            yield k, right
+
+
+def _arrays(group: pa.Table) -> tuple[np.ndarray, ...]:
+    sk = np.vstack([np.frombuffer(x, np.uint16) for x in group.column("sketch").to_pylist()])
+    return (*(group.column(c).to_numpy().copy() for c in ("rep", "component", "n")), sk)
+
+
+def _named(group: pa.Table) -> pa.Table:
+    """The rows of a group that their sketches let link with another of it."""
+    group = group.combine_chunks()
+    _, comp, n, sk = _arrays(group)
+    some = np.zeros(group.num_rows, bool)
+    for k, right in _meetings(group):
+        found = _allowed(k, right, comp, n, sk)
+        some[found] = True
+        some[k] |= len(found) > 0
+    return group.filter(pa.array(some))
+
+
+def _met(group: pa.Table) -> pa.Table:
+    """Links of one group between different components, confirmed on the full sets; linked components merge at once."""
+    group = group.combine_chunks()
+    ids, comp, n, sk = _arrays(group)
+    sets = [np.asarray(x.values.to_numpy(), np.int64) for x in group.column("shingles")]
+    out: list[tuple] = []
+    for k, right in _meetings(group):
+        for j in _allowed(k, right, comp, n, sk):
+            if comp[j] != comp[k]:
+                c = len(np.intersect1d(sets[k], sets[j], assume_unique=True))
+                if 100 * c >= PERCENT * (n[k] + n[j] - c):
+                    out.append((min(ids[k], ids[j]), max(ids[k], ids[j])))
+                    comp[comp == comp[j]] = comp[k]
     return pa.table([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
 
 
-def _estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) that their sketches allow."""
+def _estimated(pairs: DataFrame, reps: DataFrame, hot: int) -> DataFrame:
+    """Distinct pairs (a, b) that their sketches allow; a may be the leader of very many."""
     left = reps.select(F.col("rep").alias("l"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     right = reps.select(F.col("rep").alias("r"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    both = pairs.join(left, F.col("a") == F.col("l")).join(right, F.col("b") == F.col("r"))
+    both = common.salted_join(pairs.join(right, F.col("b") == F.col("r")), left, "a", "l", "b", hot)
     return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_likely, "a long, b long").distinct()
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, docs: DataFrame, hot: int) -> DataFrame:
     """Pairs that their full sets link. Only documents in a pair are read again."""
     wanted = pairs.select(F.col("a").alias("w")).unionByName(pairs.select(F.col("b").alias("w"))).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id") == F.col("w"), "left_semi")
     sets = common.staged(texts.mapInArrow(_sets, "doc_id long, shingles array<long>"), "near-sets")
     left = sets.select(F.col("doc_id").alias("l"), F.col("shingles").alias("x"))
     right = sets.select(F.col("doc_id").alias("r"), F.col("shingles").alias("y"))
-    both = pairs.join(right, F.col("b") == F.col("r")).join(left, F.col("a") == F.col("l"))
+    both = common.salted_join(pairs, left, "a", "l", "b", hot).join(right, F.col("b") == F.col("r"))
     common_n = F.size(F.array_intersect("x", "y"))
     return both.select("a", "b", common_n.alias("c"), (F.size("x") + F.size("y") - common_n).alias("u")).filter(100 * F.col("c") >= PERCENT * F.col("u")).filter("u > 0").select("a", "b").distinct()
 
 
-def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
-    likely = common.staged(_estimated(pairs.select("a", "b"), reps), "near-pairs")
-    return common.staged(_confirmed(likely, docs), "near-links")
+def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, hot: int) -> DataFrame:
+    since = common.mark()
+    likely = common.staged(_estimated(common.staged(pairs.select("a", "b"), "near-asked"), reps, hot), "near-pairs")
+    out = common.staged(_confirmed(likely, docs, hot), "near-links")
+    common.drop_since(since)
+    return out
 
 
 def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
@@ -233,21 +259,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.col("sketch").substr(k * (2 * ROWS) + 1, F.lit(2 * ROWS))))
     banded = reps.select("rep", F.explode(keys).alias("key"))
     leaders = banded.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("size")).filter("size > 1").select(F.col("key").alias("b_key"), "leader", "size")
-    buckets = common.staged(banded.join(leaders, F.col("key") == F.col("b_key")).select("key", "leader", "size", "rep"), "near-buckets")
+    # a hot key has this many rows; HOT_KEYS of them at most
+    hot = max(1000, BANDS * reps.count() // HOT_KEYS)
+    buckets = common.staged(common.salted_join(banded, leaders, "key", "b_key", "rep", hot, leaders.filter(F.col("size") >= hot).select(F.col("b_key").alias("hot_key"))).select("key", "leader", "size", "rep"), "near-buckets")
     counted = buckets.filter("rep <> leader").groupBy(F.col("leader").alias("a"), F.col("rep").alias("b")).agg(F.count("*").alias("named"))
     na, nb = (reps.select(F.col("rep").alias(f"{x}_id"), F.col("n").alias(f"{x}_n")) for x in "ab")
     near = F.expr(f"100 * least(a_n, b_n) >= {PERCENT} * greatest(a_n, b_n)")
-    stars = common.staged(counted.join(na, F.col("a") == F.col("a_id")).join(nb, F.col("b") == F.col("b_id")).filter(near).select("a", "b", "named"), "near-stars")
+    stars = common.staged(common.salted_join(counted, na, "a", "a_id", "b", hot).join(nb, F.col("b") == F.col("b_id")).filter(near).select("a", "b", "named"), "near-stars")
     # ids with several sets are one vertex, and so are the classes that hold them
     shared = common.staged(live.groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1").select(F.col("doc_id").alias("d")), "near-repeats")
     several = live.join(of, same).filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     edges = several.join(shared, F.col("b") == F.col("d"), "left_semi")
     first = stars.groupBy("b").agg(F.max(F.struct("named", (-F.col("a")).alias("a"))).alias("x")).select((-F.col("x.a")).alias("a"), "b")
-    found = components(edges.unionByName(_links(first, reps, docs)))
+    found = components(edges.unionByName(_links(first, reps, docs, hot)))
     # from here on the stars stand for the edges that made them
     stars_of = lambda c: c.select(F.col("component").alias("a"), F.col("node").alias("b"))
-    found = components(stars_of(found).unionByName(_links(_apart(stars, found), reps, docs)))
+    found = components(stars_of(found).unionByName(_links(_apart(stars, found), reps, docs, hot)))
+    since = common.mark()
     more = common.staged(_open_links(buckets, found, reps, docs), "near-more")
+    common.drop_since(since)
     if not more.isEmpty():
         found = components(stars_of(found).unionByName(more))
     comp = found.select(F.col("node"), "component")
@@ -270,7 +300,9 @@ def _open_links(buckets: DataFrame, found: DataFrame, reps: DataFrame, docs: Dat
     Classes that meet in open buckets form clusters. A cluster's members are
     compared with each other where their sizes allow a link, large clusters in
     blocks by size class: a block meets those of its own and the next class
-    only. Pairs are tested and confirmed inside the task, which returns links.
+    only. Sketches travel to the blocks first; the full sets only of those
+    members that a sketch lets link there. Pairs are tested and confirmed inside
+    the task, which returns links.
     """
     named = buckets.filter("size > 2").join(found, F.col("rep") == F.col("node"), "left").select("key", "leader", "rep", F.coalesce("component", "rep").alias("component"))
     mixed = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select(F.col("key").alias("m_key"))
@@ -303,11 +335,16 @@ def _open_links(buckets: DataFrame, found: DataFrame, reps: DataFrame, docs: Dat
     meets = F.transform(F.concat(here, up, down), lambda k: F.struct(F.least(k, F.col("block")).alias("lo"), F.greatest(k, F.col("block")).alias("hi")))
     large = large.withColumn("m", F.explode(meets)).withColumns({"lo": F.col("m.lo"), "hi": F.col("m.hi"), "deal": F.col("cluster")})
     dealt = small.select("deal", *columns).unionByName(large.select("deal", *columns))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sizes.select(F.col("rep").alias("w")), F.col("doc_id") == F.col("w"), "left_semi")
-    sets = common.staged(texts.mapInArrow(_sets, "doc_id long, shingles array<long>"), "near-sets")
+    # sketches alone tell whose full sets are needed where
     sketches = reps.select(F.col("rep").alias("s_rep"), "sketch")
-    dealt = dealt.join(sketches, F.col("rep") == F.col("s_rep")).join(sets, F.col("rep") == F.col("doc_id")).select("deal", *columns, "sketch", "shingles")
-    return dealt.groupBy("deal", "lo", "hi").applyInArrow(_met, "a long, b long").distinct()
+    dealt = dealt.join(sketches, F.col("rep") == F.col("s_rep")).select("deal", *columns, "sketch")
+    kinds = dict(dealt.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in dealt.columns)
+    named = common.staged(dealt.groupBy("deal", "lo", "hi").applyInArrow(_named, schema), "near-named")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(named.select(F.col("rep").alias("w")).distinct(), F.col("doc_id") == F.col("w"), "left_semi")
+    sets = common.staged(texts.mapInArrow(_sets, "doc_id long, shingles array<long>"), "near-sets")
+    named = named.join(sets, F.col("rep") == F.col("doc_id")).select("deal", *columns, "sketch", "shingles")
+    return named.groupBy("deal", "lo", "hi").applyInArrow(_met, "a long, b long").distinct()
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
