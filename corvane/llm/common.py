@@ -84,16 +84,13 @@ def drop_since(since: int) -> None:
 SALTS = 32
 
 
-def salted_join(rows: DataFrame, own: DataFrame, key: str, right: str, by: str, hot: int, keys: DataFrame | None = None) -> DataFrame:
+def salted_join(rows: DataFrame, own: DataFrame, key: str, right: str, by: str, keys: DataFrame) -> DataFrame:
     """rows joined with own, which has one row a key, on rows[key] = own[right].
 
-    Keys of at least `hot` rows are dealt to SALTS parts by a hash of `by`, and
-    their row of own is sent to each. Only those keys are broadcast: at most
-    the number of rows over `hot`, which the caller chooses accordingly, or
-    passes them (hot_key).
+    The rows of hot keys (hot_key) are dealt to SALTS parts by a hash of `by`,
+    and their row of own is sent to each. Only those keys are broadcast; the
+    caller bounds their number.
     """
-    if keys is None:
-        keys = rows.groupBy(F.col(key).alias("hot_key")).agg(F.count("*").alias("n")).filter(F.col("n") >= hot).select("hot_key")
     dealt = rows.join(F.broadcast(keys), F.col(key) == F.col("hot_key"), "left")
     dealt = dealt.withColumn("l_salt", F.when(F.col("hot_key").isNotNull(), F.pmod(F.xxhash64(by), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")).drop("hot_key")
     sent = own.join(F.broadcast(keys), F.col(right) == F.col("hot_key"), "left")

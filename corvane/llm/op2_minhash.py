@@ -210,30 +210,30 @@ def _met(group: pa.Table) -> pa.Table:
     return pa.table([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
 
 
-def _estimated(pairs: DataFrame, reps: DataFrame, hot: int) -> DataFrame:
-    """Distinct pairs (a, b) that their sketches allow; a may be the leader of very many."""
+def _estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) that their sketches allow. A leader of very many is split by the join at run time."""
     left = reps.select(F.col("rep").alias("l"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     right = reps.select(F.col("rep").alias("r"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    both = common.salted_join(pairs.join(right, F.col("b") == F.col("r")), left, "a", "l", "b", hot)
+    both = pairs.join(right, F.col("b") == F.col("r")).join(left, F.col("a") == F.col("l"))
     return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_likely, "a long, b long").distinct()
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, hot: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs that their full sets link. Only documents in a pair are read again."""
     wanted = pairs.select(F.col("a").alias("w")).unionByName(pairs.select(F.col("b").alias("w"))).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id") == F.col("w"), "left_semi")
     sets = common.staged(texts.mapInArrow(_sets, "doc_id long, shingles array<long>"), "near-sets")
     left = sets.select(F.col("doc_id").alias("l"), F.col("shingles").alias("x"))
     right = sets.select(F.col("doc_id").alias("r"), F.col("shingles").alias("y"))
-    both = common.salted_join(pairs, left, "a", "l", "b", hot).join(right, F.col("b") == F.col("r"))
+    both = pairs.join(right, F.col("b") == F.col("r")).join(left, F.col("a") == F.col("l"))
     common_n = F.size(F.array_intersect("x", "y"))
     return both.select("a", "b", common_n.alias("c"), (F.size("x") + F.size("y") - common_n).alias("u")).filter(100 * F.col("c") >= PERCENT * F.col("u")).filter("u > 0").select("a", "b").distinct()
 
 
-def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, hot: int) -> DataFrame:
+def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     since = common.mark()
-    likely = common.staged(_estimated(common.staged(pairs.select("a", "b"), "near-asked"), reps, hot), "near-pairs")
-    out = common.staged(_confirmed(likely, docs, hot), "near-links")
+    likely = common.staged(_estimated(pairs.select("a", "b"), reps), "near-pairs")
+    out = common.staged(_confirmed(likely, docs), "near-links")
     common.drop_since(since)
     return out
 
@@ -259,22 +259,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.col("sketch").substr(k * (2 * ROWS) + 1, F.lit(2 * ROWS))))
     banded = reps.select("rep", F.explode(keys).alias("key"))
     leaders = banded.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("size")).filter("size > 1").select(F.col("key").alias("b_key"), "leader", "size")
-    # a hot key has this many rows; HOT_KEYS of them at most
-    hot = max(1000, BANDS * reps.count() // HOT_KEYS)
-    buckets = common.staged(common.salted_join(banded, leaders, "key", "b_key", "rep", hot, leaders.filter(F.col("size") >= hot).select(F.col("b_key").alias("hot_key"))).select("key", "leader", "size", "rep"), "near-buckets")
+    # a hot key has this many rows, so there are HOT_KEYS of them at most
+    least = max(1000, BANDS * reps.count() // HOT_KEYS)
+    buckets = common.staged(common.salted_join(banded, leaders, "key", "b_key", "rep", leaders.filter(F.col("size") >= least).select(F.col("b_key").alias("hot_key"))).select("key", "leader", "size", "rep"), "near-buckets")
     counted = buckets.filter("rep <> leader").groupBy(F.col("leader").alias("a"), F.col("rep").alias("b")).agg(F.count("*").alias("named"))
     na, nb = (reps.select(F.col("rep").alias(f"{x}_id"), F.col("n").alias(f"{x}_n")) for x in "ab")
     near = F.expr(f"100 * least(a_n, b_n) >= {PERCENT} * greatest(a_n, b_n)")
-    stars = common.staged(common.salted_join(counted, na, "a", "a_id", "b", hot).join(nb, F.col("b") == F.col("b_id")).filter(near).select("a", "b", "named"), "near-stars")
+    stars = common.staged(counted.join(na, F.col("a") == F.col("a_id")).join(nb, F.col("b") == F.col("b_id")).filter(near).select("a", "b", "named"), "near-stars")
     # ids with several sets are one vertex, and so are the classes that hold them
     shared = common.staged(live.groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1").select(F.col("doc_id").alias("d")), "near-repeats")
     several = live.join(of, same).filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     edges = several.join(shared, F.col("b") == F.col("d"), "left_semi")
     first = stars.groupBy("b").agg(F.max(F.struct("named", (-F.col("a")).alias("a"))).alias("x")).select((-F.col("x.a")).alias("a"), "b")
-    found = components(edges.unionByName(_links(first, reps, docs, hot)))
+    found = components(edges.unionByName(_links(first, reps, docs)))
     # from here on the stars stand for the edges that made them
     stars_of = lambda c: c.select(F.col("component").alias("a"), F.col("node").alias("b"))
-    found = components(stars_of(found).unionByName(_links(_apart(stars, found), reps, docs, hot)))
+    found = components(stars_of(found).unionByName(_links(_apart(stars, found), reps, docs)))
     since = common.mark()
     more = common.staged(_open_links(buckets, found, reps, docs), "near-more")
     common.drop_since(since)
