@@ -1,8 +1,9 @@
 """Deep-shallow sorting of byte strings of one length.
 
-Multikey quicksort on eight-byte symbols orders all strings at once to a
-shallow depth; groups that still agree there are ordered by blind tries, which
-branch on single bytes and compare a new string with one leaf only.
+Multikey quicksort on eight-byte symbols orders the strings to a shallow
+depth, all segments of a round side by side; groups that still agree there are
+ordered by blind tries, which branch on single bytes and compare a new string
+with one leaf only.
 """
 
 from __future__ import annotations
@@ -56,6 +57,40 @@ class _Trie:
         return out, lcp
 
 
+def _multikey(words: np.ndarray, order: np.ndarray, seg: np.ndarray, shallow: int) -> np.ndarray:
+    """Multikey quicksort of all segments side by side; seg holds each place's segment start. Returns the starts of the segments that remain.
+
+    A round splits each open segment by its pivot, the median of three symbols
+    at the segment's depth, into lesser, equal and greater strings; equal ones
+    go on with their next symbol, the others stay at theirs. A segment is
+    closed when it holds one string or has agreed on `shallow` symbols.
+    """
+    n = len(order)
+    depth = np.zeros(n, np.int64)
+    while True:
+        ends = np.flatnonzero(np.append(seg[1:] != seg[:-1], True)) + 1
+        starts = np.append(0, ends[:-1])
+        size = ends - starts
+        open_ = (size > 1) & (depth[starts] < shallow)
+        if not open_.any():
+            return seg
+        starts, size = starts[open_], size[open_]
+        at = np.repeat(starts - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum())
+        w = words[order[at], depth[at]]
+        head = np.append(0, np.cumsum(size)[:-1])
+        three = np.sort(np.stack([w[head], w[head + size // 2], w[head + size - 1]]), axis=0)
+        pivot = np.repeat(three[1], size)
+        side = np.where(w < pivot, 0, np.where(w == pivot, 1, 2)).astype(np.int64)
+        # a stable deal of each segment's places to its three sides
+        inner = np.argsort(np.repeat(np.arange(len(size)), size) * 3 + side, kind="stable")
+        order[at] = order[at[inner]]
+        side = side[inner]
+        new = np.append(True, (side[1:] != side[:-1]))
+        new[head] = True
+        seg[at] = at[new][np.cumsum(new) - 1]
+        depth[at] += side == 1
+
+
 def sort(group: np.ndarray, strings: np.ndarray, shallow: int = 6) -> tuple[np.ndarray, np.ndarray]:
     """Order rows by (group, string). Returns the order and each row's common prefix with the row before, -1 where a group begins.
 
@@ -70,47 +105,27 @@ def sort(group: np.ndarray, strings: np.ndarray, shallow: int = 6) -> tuple[np.n
     words = words.view(">u8").astype(np.uint64)
     order = np.argsort(group, kind="stable")
     g = group[order]
-    seg = np.cumsum(np.append(0, g[1:] != g[:-1]))
-    lcp = np.full(n, -1, np.int64)
-    new = np.append(True, seg[1:] != seg[:-1])
-    # shallow: refine all segments of more than one string by the next symbol
-    for d in range(min(shallow, words.shape[1])):
-        open_ = ~new | np.append(~new[1:], False)
-        at = np.flatnonzero(open_)
-        if not len(at):
-            break
-        w = words[order[at], d]
-        inner = np.lexsort((w, seg[at]))
-        order[at] = order[at][inner]
-        w = w[inner]
-        split = np.zeros(len(at), bool)
-        split[1:] = (seg[at][1:] == seg[at][:-1]) & (w[1:] != w[:-1])
-        k = np.flatnonzero(split)
-        lcp[at[k]] = 8 * d + _leading(w[k] ^ w[k - 1])
-        new[at[k]] = True
-        seg = np.cumsum(new) - 1
+    first = np.append(True, g[1:] != g[:-1])
+    seg = _multikey(words, order, np.flatnonzero(first)[np.cumsum(first) - 1], min(shallow, words.shape[1]))
     # deep: what still agrees, in blind tries over its distinct strings
-    starts = np.flatnonzero(new)
+    starts = np.flatnonzero(np.append(True, seg[1:] != seg[:-1]))
     ends = np.append(starts[1:], n)
     for a, b in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
-        rows = order[a:b]
         seen: dict[bytes, list[int]] = {}
-        for r in rows.tolist():
+        for r in order[a:b].tolist():
             seen.setdefault(strings[r].tobytes(), []).append(r)
         distinct = list(seen)
-        if len(distinct) == 1:
-            lcp[a + 1 : b] = size
-            continue
-        places, shared = _Trie(distinct).order()
-        at = a
-        for j, (k, c) in enumerate(zip(places, shared, strict=True)):
-            own = seen[distinct[k]]
-            order[at : at + len(own)] = own
-            if j:
-                lcp[at] = c
-            lcp[at + 1 : at + len(own)] = size
-            at += len(own)
-    return order, np.minimum(lcp, size)
+        if len(distinct) > 1:
+            order[a:b] = [r for k in _Trie(distinct).order()[0] for r in seen[distinct[k]]]
+    lcp = np.full(n, -1, np.int64)
+    for a in range(1, n, 1 << 16):
+        x = slice(a, min(n, a + (1 << 16)))
+        apart = words[order[x]] ^ words[order[a - 1 : x.stop - 1]]
+        word = (apart != 0).argmax(axis=1)
+        differ = apart[np.arange(len(word)), word]
+        lcp[x] = np.where(differ == 0, size, np.minimum(8 * word + _leading(differ), size))
+    lcp[first] = -1
+    return order, lcp
 
 
 def _leading(x: np.ndarray) -> np.ndarray:

@@ -364,14 +364,20 @@ class _Plan:
         total = meta.agg(F.sum("n")).first()[0] or 0
         least = int(spark.conf.get("spark.sql.shuffle.partitions"))
         parts, buckets = (max(least, -(-total // size)) for size in (SHARD, BUCKET))
-        shard = lambda c: F.pmod(F.xxhash64(c), F.lit(parts)).cast("long")
         order = F.coalesce("doc_id", F.lit(_NULL_ID).cast("long"))
-        best = meta.filter(F.col("n") >= span).groupBy("sha").agg(F.min(order).alias("best")).withColumnRenamed("sha", "b_sha")
-        self.ranked = meta.join(best, F.col("sha") == F.col("b_sha"), "left").withColumn("first", F.coalesce(order == F.col("best"), F.lit(False)))
-        name = F.concat(F.unhex(F.lpad(F.hex(order), 16, "0")), F.unhex("sha"))
+        # rows that share an id, or have none, are dealt by their text's hash too
+        shard = lambda c, sha: F.pmod(F.xxhash64(c, sha), F.lit(parts)).cast("long")
+        long = meta.filter(F.col("n") >= span)
+        firsts = long.groupBy("sha").agg(F.min(order).alias("best")).select(F.col("sha").alias("b_sha"), "best")
+        firsts = common.staged(firsts, "suffix-firsts")
+        # a copy meets its own key (id and hash), never its group's
+        ranked = long.join(firsts, (F.col("sha") == F.col("b_sha")) & (order == F.col("best")), "left").withColumn("first", F.col("best").isNotNull()).drop("b_sha", "best")
+        self.ranked = ranked.unionByName(meta.filter(F.col("n") < span).withColumn("first", F.lit(False)))
+        name = F.concat(F.unhex(F.lpad(F.hex("best"), 16, "0")), F.unhex("b_sha"))
         # a shard holds a bounded share of the documents, and so does its list
-        firsts = self.ranked.filter("first").groupBy(shard("doc_id").alias("shard")).agg(F.collect_list(name).alias("keys")).mapInArrow(_joined, _MESSAGE)
-        self.texts = docs.filter(F.octet_length(text) >= span).select(shard(key).alias("shard"), key.alias("doc_id"), text.alias("text"), *(F.col(c).alias(f"x_{c}") for c in carry))
+        firsts = firsts.groupBy(shard("best", "b_sha").alias("shard")).agg(F.collect_list(name).alias("keys")).mapInArrow(_joined, _MESSAGE)
+        own = F.sha2(text.cast("binary"), 256)
+        self.texts = docs.filter(F.octet_length(text) >= span).select(shard(F.coalesce(key, F.lit(_NULL_ID)), own).alias("shard"), key.alias("doc_id"), text.alias("text"), *(F.col(c).alias(f"x_{c}") for c in carry))
         told = self.cogroup(firsts, lambda k, t, m: announce(k, t, m, span, gram, buckets), _MESSAGE)
         again = told.groupBy("bucket").applyInArrow(lambda k, m: pick(k, m), _MESSAGE)
         known = firsts.unionByName(again)

@@ -273,3 +273,32 @@ def test_pipeline_on_whole_tables(spark):
         if name != "packing":
             assert got.columns == d.columns
     assert got.filter("piece = 0").count() == len(before)
+
+
+def test_multikey_rounds_take_ties_and_order():
+    rng = np.random.default_rng(6)
+    strings = rng.integers(0, 2, (500, 20)).astype(np.uint8)
+    strings[::3] = strings[0]
+    strings[1::5, :16] = 1
+    group = rng.integers(0, 4, 500)
+    for shallow in (0, 1, 2, 3):
+        order, _ = deepshallow.sort(group, strings, shallow)
+        got = [(group[k], strings[k].tobytes()) for k in order]
+        assert got == sorted(got) and sorted(order.tolist()) == list(range(500))
+
+
+def test_repeats_without_ids_and_under_one_id(spark):
+    rng = random.Random(2)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(150))
+    texts = ["x" * k + passage + f" tail {k}" for k in range(6)]
+    rows = [(None, t) for t in texts] + [(7, t[::-1]) for t in texts] + [(None, texts[0]), (7, None), (8, "short")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"shard": F.lit(1), "bucket": F.lit(2), "payload": F.lit("p"), "kind": F.lit("k"), "sha": F.lit("s"), "n": F.lit(0)})
+    got = op9_suffix.remove_repeats(frame).toPandas()
+    by_sha = lambda own: sorted((t.encode() for t in own), key=lambda t: hashlib.sha256(t).hexdigest())
+    ordered = [*by_sha(texts), *by_sha(t[::-1] for t in texts)]
+    want = plain_removal(dict(enumerate(ordered)), 100)
+    n = len(texts[0])
+    rest = [(n, n, 1, hashlib.sha256(b"").hexdigest()), (0, 0, 0, hashlib.sha256(b"").hexdigest()), (5, 0, 0, hashlib.sha256(b"short").hexdigest())]
+    assert sorted(map(tuple, got[["n_bytes", "n_removed", "n_spans", "kept_sha256"]].values.tolist())) == sorted([*want.values(), *rest])
+    out = op9_suffix.without_repeats(frame)
+    assert out.columns == frame.columns and out.count() == len(rows)
