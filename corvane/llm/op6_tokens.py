@@ -1,10 +1,13 @@
 """Token counts as delta-maintained rollups.
 
 Batches of signed changes (insert, delete, revise) are summed to deltas by
-source, language and tokenizer version and committed under their batch id. A
-commit writes aside and renames, so a batch counts once however often it is
-sent, and a writer that dies leaves nothing behind that counts. Totals are the
-sum of all committed deltas; compaction folds batches into one.
+source, language and tokenizer version and committed under their batch id. The
+deltas are written first; a batch counts once a manifest version names it.
+Every version states all that counts and is published under the next number
+only if nobody else took it, so of two writers one has to look again: a batch
+counts once however often and by however many it is sent, two compactions do
+not both count, and a writer that dies leaves nothing behind that counts.
+Totals are the sum of all committed deltas; compaction folds them into one.
 
 Defined results. A null text has no tokens and counts as a document. A null
 source or language is a key of its own. Repeated rows count as often as they
@@ -16,10 +19,12 @@ are refused. Other columns are ignored.
 from __future__ import annotations
 
 import base64
+import json
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,7 +66,7 @@ def counted(docs: DataFrame, versions: tuple[str, ...] = VERSIONS) -> DataFrame:
 
 
 class Rollups:
-    """Committed deltas under a folder that all executors share."""
+    """Committed deltas under a folder that all executors share, on a file system that can refuse to replace a file."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -70,24 +75,43 @@ class Rollups:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def _exists(self, path: str) -> bool:
-        fs, p = self._fs(path)
-        return fs.exists(p)
+    def _state(self) -> dict:
+        """The last version: its number, the ids that were committed, and the folders to sum."""
+        fs, p = self._fs(f"{self.root}/manifest")
+        numbers = sorted(f.getPath().getName() for f in fs.listStatus(p)) if fs.exists(p) else []
+        if not numbers:
+            return {"version": 0, "batches": [], "folders": []}
+        return json.loads(self.spark.read.text(f"{self.root}/manifest/{numbers[-1]}", wholetext=True).first()[0])
+
+    def _publish(self, state: dict) -> bool:
+        """Write this version; False if another writer was first."""
+        name = f"{state['version']:012d}"
+        aside, final = f"{self.root}/aside/{uuid.uuid4().hex}", f"{self.root}/manifest/{name}"
+        fs, p = self._fs(aside)
+        out = fs.create(p, False)
+        out.write(json.dumps(state).encode())
+        out.close()
+        target = self._fs(final)[1]
+        fs.mkdirs(target.getParent())
+        jvm = self.spark._jvm
+        try:
+            if fs.getUri().getScheme() == "file":  # a rename replaces there, a link does not
+                here, there = (jvm.java.nio.file.Path.of(x.toUri().getPath(), self.spark.sparkContext._gateway.new_array(jvm.java.lang.String, 0)) for x in (p, target))
+                jvm.java.nio.file.Files.createLink(there, here)
+                fs.delete(p, False)
+            else:
+                none = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+                jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), self.spark._jsc.hadoopConfiguration()).rename(p, target, none)
+        except Py4JJavaError as e:
+            if "AlreadyExists" not in e.java_exception.getClass().getName():
+                raise
+            fs.delete(p, False)
+            return False
+        return True
 
     def committed(self) -> list[str]:
         """The ids of the batches that count."""
-        fs, p = self._fs(f"{self.root}/batches")
-        return sorted(f.getPath().getName() for f in fs.listStatus(p)) if fs.exists(p) else []
-
-    def _place(self, deltas: DataFrame, batch_id: str) -> bool:
-        aside, final = f"{self.root}/aside/{uuid.uuid4().hex}", f"{self.root}/batches/{batch_id}"
-        deltas.write.parquet(aside)
-        fs, p = self._fs(final)
-        fs.mkdirs(p.getParent())
-        if fs.exists(p):
-            fs.delete(self._fs(aside)[1], True)
-            return False
-        return bool(fs.rename(self._fs(aside)[1], p))
+        return sorted(self._state()["batches"])
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Commit (op, source, lang, tokenizer, tokens, old_tokens); False if the batch was committed before.
@@ -95,44 +119,51 @@ class Rollups:
         insert adds a document and its tokens, delete takes them away, revise
         replaces old_tokens by tokens.
         """
-        if self._exists(f"{self.root}/batches/{batch_id}") or batch_id in self._folded():
+        if batch_id in self._state()["batches"]:
             return False
-        return self._place(deltas(changes).withColumn("batch", F.lit(batch_id)), batch_id)
+        folder = self._written(deltas(changes))
+        while batch_id not in (now := self._state())["batches"]:
+            if self._publish({"version": now["version"] + 1, "batches": [*now["batches"], batch_id], "folders": [*now["folders"], folder]}):
+                return True
+        self._delete(folder)
+        return False
 
-    def _folded(self) -> set[str]:
-        """Ids of batches that a fold holds: one row each, so as many as there are batches."""
-        folds = [b for b in self.committed() if b.startswith("fold-")]
-        return {r["batch"] for r in self._read(folds).filter("batch <> 'fold'").select("batch").distinct().collect()} if folds else set()
+    def _written(self, rows: DataFrame) -> str:
+        folder = uuid.uuid4().hex
+        rows.write.parquet(f"{self.root}/deltas/{folder}")
+        return folder
 
-    def _current(self) -> list[str]:
-        """The folders to sum: a folded batch's own folder may outlive its fold for a while."""
-        folded = self._folded()
-        return [b for b in self.committed() if b not in folded]
+    def _delete(self, folder: str) -> None:
+        fs, p = self._fs(f"{self.root}/deltas/{folder}")
+        fs.delete(p, True)
 
-    def _read(self, batches: list[str]) -> DataFrame:
-        return self.spark.read.schema("source string, lang string, tokenizer string, docs long, tokens long, batch string").parquet(*(f"{self.root}/batches/{b}" for b in batches))
+    def _read(self, folders: list[str]) -> DataFrame:
+        return self.spark.read.schema("source string, lang string, tokenizer string, docs long, tokens long").parquet(*(f"{self.root}/deltas/{f}" for f in folders))
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, docs, tokens over all committed batches."""
-        batches = self._current()
-        if not batches:
+        folders = self._state()["folders"]
+        if not folders:
             return self.spark.createDataFrame([], "source string, lang string, tokenizer string, docs long, tokens long")
-        summed = self._read(batches).groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-        return summed.filter("docs <> 0 or tokens <> 0")
-
-    def compact(self) -> None:
-        """Fold all committed batches into one, which remembers their ids by rows that count nothing."""
-        batches = self._current()
-        if len(batches) < 2:
-            return
-        rows = self._read(batches)
-        kept = rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).withColumn("batch", F.lit("fold"))
-        names = rows.select("batch").filter("batch <> 'fold'").unionByName(self.spark.createDataFrame([(b,) for b in batches], "batch string")).distinct()
-        ids = names.select(*(F.lit(None).cast("string").alias(k) for k in KEYS), F.lit(0).cast("long").alias("docs"), F.lit(0).cast("long").alias("tokens"), "batch")
-        if self._place(kept.unionByName(ids), f"fold-{uuid.uuid4().hex}"):
-            for b in batches:  # a reader skips these from now on
-                fs, p = self._fs(f"{self.root}/batches/{b}")
-                fs.delete(p, True)
+        return _summed(self._read(folders)).filter("docs <> 0 or tokens <> 0")
+
+    def compact(self) -> bool:
+        """Fold the deltas of all committed batches into one; False if another compaction was first. Batches that come meanwhile stay beside it."""
+        old = self._state()["folders"]
+        if len(old) < 2:
+            return False
+        fold = self._written(_summed(self._read(old)))
+        while set(old) <= set((now := self._state())["folders"]):
+            if self._publish({"version": now["version"] + 1, "batches": now["batches"], "folders": [fold, *(f for f in now["folders"] if f not in old)]}):
+                for folder in old:
+                    self._delete(folder)
+                return True
+        self._delete(fold)
+        return False
+
+
+def _summed(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
 
 
 def deltas(changes: DataFrame) -> DataFrame:
@@ -152,7 +183,7 @@ def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     modulo 7; the deletion takes those away whose crc32 is 0 modulo 11.
     """
     rows = common.staged(counted(common.table(spark, sf_dir, "documents")), "token-counts")
-    book = Rollups(spark, f"{common.shared_dir(spark)}/corvane/rollups-{uuid.uuid4().hex}")
+    book = Rollups(spark, common.scratch_path(spark, "rollups"))
     change = rows.withColumn("old_tokens", F.lit(0).cast("long"))
     revised = change.filter(common.held_out(F.col("doc_id"), 7, 1))
     revised = revised.withColumns({"op": F.lit("revise"), "old_tokens": F.col("tokens"), "tokens": F.col("tokens") + 1})
