@@ -291,7 +291,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, without the near-duplicates of smaller doc_ids. Rows that share a doc_id stay or go together."""
     gone = near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("g_id")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("g_id"), "left_anti")
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["g_id"], "left_anti")
 
 
 def _open_links(buckets: DataFrame, found: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:

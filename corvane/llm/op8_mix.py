@@ -105,7 +105,7 @@ def _placed(rows: DataFrame, odds: DataFrame) -> DataFrame:
     rows = rows.join(own, rows["source"].eqNullSafe(own["o_source"]) & (rows["digits"] == own["o_digits"])).drop("o_source", "o_digits", "digits")
     ratio = F.when(F.col("p") > 0, (F.col("u") / (1 - F.col("u"))) * (1 - F.col("p")) / F.nullif("p", F.lit(0.0)))
     # the order mapped to [0, 1): uniform where all odds are those of the source as a whole
-    share = F.col("rest") / F.col("source_size").cast("double")
+    share = F.col("rest") / F.nullif(F.col("source_size").cast("double"), F.lit(0.0))
     mean = F.col("q") * F.when((share > 0) & (share < 1), share / F.nullif(1 - share, F.lit(0.0))).otherwise(F.lit(1.0))
     at = F.least(F.floor(mean / (1 + mean) * F.lit(float(SLICES * SLICES))).cast("long"), F.lit(SLICES * SLICES - 1).cast("long"))
     return rows.withColumn("q", ratio).withColumn("at", at).withColumns({"slice": F.floor(F.col("at") / SLICES), "fine": F.pmod(F.col("at"), F.lit(SLICES))}).drop("at", "u")

@@ -57,3 +57,8 @@ def test_rows_without_id_and_repeats(spark):
     for d, t, _ in rows:
         assert counts.get((d, t), 0) == by[d, len((t or "").split())]
     assert op8_mix.repeated(frame.limit(0)).count() == 0
+
+
+def test_a_source_without_words(spark):
+    frame = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "a b c d", "y")], "doc_id long, text string, source string")
+    assert sorted((r["doc_id"], r["target"], r["taken"]) for r in op8_mix.mix(frame).collect()) == [(1, 0.0, 0), (2, 0.0, 0), (3, 4.0, 4)]
