@@ -1,7 +1,19 @@
 """A corpus pipeline: classify, deduplicate, cut repeats, mix, pack.
 
 Each stage works on all that the one before kept and returns the columns of
-documents; the last returns the packed pieces.
+documents, whichever there are; the last returns the packed pieces.
+
+Defined results. quality: a null text is judged as an empty one; without
+labels of both classes every row stays; repeated rows are judged separately.
+near_duplicates: null and wordless texts, and rows without an id, stay; rows
+that share an id stay or go together. repeated_passages: all rows stay, a null
+text stays null; of rows equal in id and text one keeps its text; rows without
+an id come first, those that share one in the order of their text's hash.
+mixing: wordless rows stay or go as their source's shortest documents do; rows
+equal in id, source and size are taken as often as each other. packing: a null
+or empty text is one piece, the end id. Texts may be of any length. An empty
+table goes through all stages as one. Other columns are carried to the last
+stage and may have any name.
 """
 
 from __future__ import annotations
@@ -49,8 +61,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written and read again."""
+    """All stages over documents, each written and read again; what a stage was made from is dropped then."""
     docs = common.table(spark, sf_dir, "documents")
+    since = common.mark()
     for name, stage in STAGES[:-1]:
         docs = common.staged(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        common.drop_since(since)
     return STAGES[-1][1](spark, docs, sf_dir)
