@@ -223,7 +223,7 @@ class Best:
         return np.flatnonzero(ok)
 
     def rows(self) -> pa.RecordBatch:
-        at = np.nonzero(self.live)
+        at = np.nonzero(self.live & (self.score >= self.floor[:, None]))  # less cannot be among the k best
         return pa.RecordBatch.from_arrays([pa.array(self.own[at[0]]), pa.array(self.ids[at[0]]), pa.array(self.found[at]), pa.array(self.score[at])], ["q_row", "query_id", "vec_id", "score"])
 
 
@@ -283,7 +283,10 @@ def top_k(vectors: DataFrame, queries, k: int = K) -> DataFrame:
     side = max(1, min(TILE[1], blocks // 8))
     longest_first = rows.mapInArrow(_lengths, _ROW + ", size double").repartitionByRange(buckets, F.col("size").desc(), F.col("vec_id"), F.col("row"))
     found = longest_first.drop("size").mapInArrow(_blobs(BUCKET), _BLOB).withColumn("part", F.spark_partition_id())
-    found = common.staged(found.withColumn("group", F.floor(F.col("part") / F.lit(group)).cast("int")), "topk-buckets")
+    found = common.staged(found, "topk-buckets")
+    # groups of consecutive parts, as many as the buckets ask for however many parts the session made
+    parts = (found.agg(F.max("part")).first()[0] or 0) + 1
+    found = found.withColumn("group", F.floor(F.col("part") * F.lit(-(-buckets // group)) / F.lit(parts)).cast("int"))
     asked = rows.filter(queries).repartition(blocks, F.xxhash64("row")).mapInArrow(_blobs(QUERIES_A_BLOCK), _BLOB)
     tiles = -(-blocks // side)
     asked = common.staged(asked.withColumn("tile", F.pmod(F.xxhash64("rows"), F.lit(tiles)).cast("int")), "topk-queries")
