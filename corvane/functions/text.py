@@ -45,9 +45,13 @@ def estimated_tokens(text: Column, per_word: float = 2.28) -> Column:
 
 def char_grams(s: Column, n: int = 3) -> Column:
     """All n-character substrings of an already squeezed text column; a shorter text is one gram, an empty one none."""
+    chars = F.regexp_extract_all(s, F.lit("(?s)."), F.lit(0))
     k = F.length(s)
-    many = F.transform(F.sequence(F.lit(1), k - n + 1), lambda i: F.substring(s, i, F.lit(n)))
-    return F.when(k >= n, many).when(k > 0, F.array(s)).otherwise(F.array().cast("array<string>"))
+    # characters beside those that follow them, joined; the last n - 1 have none beside them
+    ahead = F.zip_with(chars, F.slice(chars, 2, F.greatest(k, F.lit(1))), lambda a, b: F.concat(a, b))
+    for j in range(3, n + 1):
+        ahead = F.zip_with(ahead, F.slice(chars, j, F.greatest(k, F.lit(1))), lambda a, b: F.concat(a, b))
+    return F.when(k >= n, F.slice(ahead if n > 1 else chars, F.lit(1), k - n + 1)).when(k > 0, F.array(s)).otherwise(F.array().cast("array<string>"))
 
 
 def exact_match(a: Column, b: Column) -> Column:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvane.functions import text as tx
 from corvane.operators.filters import DOC_TYPES, INDEXED_TYPES, JURISDICTIONS, STATUTE_TYPES
+from corvane.operators.stage import running
 
 #: Licence id, commercially safe, research only.
 LICENCES = (
@@ -109,24 +112,15 @@ def manifest_counts(docs: DataFrame) -> DataFrame:
     return docs.groupBy("jurisdiction", "licence").agg(F.count("*").alias("documents"), F.sum("n_chars").alias("chars"))
 
 
-def strided(docs: DataFrame, sample: int, order: str = "ord") -> DataFrame:
-    """Every k-th row in order, k = max(1, n // sample). The row numbers come from a range sort and per-part counts, not one task."""
-    n = docs.count()
-    k = max(1, n // sample)
-    return numbered(docs, order).filter(F.pmod(F.col("row_no"), F.lit(k)) == 0).drop("row_no")
-
-
-def numbered(df: DataFrame, order: str, slices: int = 64) -> DataFrame:
-    """row_no from 0 in the order of a unique number column, by counts of value ranges: no single-task window over rows."""
-    lo, hi = df.agg(F.min(order), F.max(order)).first()
-    if lo is None:
-        return df.withColumn("row_no", F.lit(0).cast("long"))
-    width = max(1, -(-(hi - lo + 1) // slices))
-    cut = df.withColumn("slice_", F.floor((F.col(order) - F.lit(lo)) / F.lit(width)).cast("int"))
-    before = W.orderBy("slice_").rowsBetween(W.unboundedPreceding, -1)  # over at most `slices` rows
-    sums = cut.groupBy("slice_").agg(F.count("*").alias("n_")).select(F.col("slice_").alias("s_"), F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("before_"))
-    place = F.row_number().over(W.partitionBy("slice_").orderBy(order)) - 1 + F.col("before_")
-    return cut.join(sums, F.col("slice_") == F.col("s_")).withColumn("row_no", place.cast("long")).drop("slice_", "s_", "before_")
+def strided(docs: DataFrame, sample: int, order: str = "ord", by: tuple[str, ...] = ()) -> DataFrame:
+    """Every k-th row in the order of a unique column, within each group, k = max(1, n // sample) with n the group's rows. Only the order and the groups are numbered."""
+    keys = docs.select(F.col(order).alias("at_"), *by)
+    sizes = keys.groupBy(*by).agg(F.count("*").alias("size_")).select("size_", *(F.col(c).alias(f"size_{c}") for c in by))
+    rows = running(keys, F.lit(1).cast("long"), "row_no", "at_", by=by)
+    same = [F.col(c).eqNullSafe(F.col(f"size_{c}")) for c in by]
+    rows = rows.join(sizes, functools.reduce(Column.__and__, same)) if by else rows.crossJoin(F.broadcast(sizes))
+    picked = rows.filter(F.pmod("row_no", F.greatest(F.lit(1), F.floor(F.col("size_") / sample))) == 0).select("at_")
+    return docs.join(picked, docs[order] == picked["at_"], "left_semi")
 
 
 def tokens_per_char(docs: DataFrame, tokens: Column) -> DataFrame:

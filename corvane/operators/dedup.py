@@ -20,13 +20,15 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as tx
 from corvane.operators.corpus import keep_order
-from corvane.operators.graph import cut
+from corvane.operators.stage import cut, drop_since, mark
 
 SHINGLE, THRESHOLD, PERMUTATIONS = 5, 0.8, 128
 #: Bands and rows for that threshold and number of permutations.
 BANDS, ROWS = 9, 13
 #: Classes of a bucket that one block holds, about.
 BUCKET_BLOCK = 256
+#: Open nodes that are settled in one task.
+SETTLED_AT_ONCE = 50_000
 
 
 def shingle_sets(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
@@ -90,7 +92,8 @@ def survivors(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     a class and source only the first can be kept, so the order is settled on
     those, in rounds: a node falls once an earlier neighbour of its source is
     kept and stays once all of them have fallen. The rounds are joins over the
-    edges; no component is gathered in one task.
+    edges; once few nodes are open they are visited in order in one task, so a
+    long chain does not take a round a link.
     """
     order = F.struct(*keep_order(docs)).alias("o")
     rows = docs.select("id", "source", tx.sha256(F.col("text")).alias("sha"), order)
@@ -107,11 +110,17 @@ def survivors(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     edges = cut(both.join(mine, "a").join(theirs, "b").filter("yo < xo").select("x", "y", "source", "y_source", "jaccard"))
     inside = edges.filter("source = y_source").select("x", "y")
     state = cut(nodes.join(inside.select(F.col("x").alias("id")).distinct().withColumn("open", F.lit(True)), "id", "left").select("id", F.when(F.col("open"), F.lit(None).cast("boolean")).otherwise(F.lit(True)).alias("kept")))
-    while not state.filter("kept is null").isEmpty():
+    since = mark()
+    # a round settles at least the first open node of every chain; what is left of long chains is settled in one task once it is small
+    while (left := state.filter("kept is null").count()) > SETTLED_AT_ONCE:
         seen = inside.join(state.select(F.col("id").alias("y"), F.col("kept").alias("y_kept")), "y")
         view = seen.groupBy("x").agg(F.bool_or(F.coalesce("y_kept", F.lit(False))).alias("beaten"), F.bool_and(F.coalesce(~F.col("y_kept"), F.lit(False))).alias("clear"))
         new = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.col("beaten"), False).when(F.col("clear"), True)
         state = cut(state.join(view, state["id"] == view["x"], "left").select("id", new.alias("kept")))
+        drop_since(since)
+    if left:
+        state = cut(_settled(state, inside, nodes))
+        drop_since(since)
     kept = state.filter("kept").select(F.col("id").alias("k"))
     near = edges.join(kept, F.col("y") == F.col("k"), "left_semi")
     best = F.max(F.struct(F.col("jaccard").alias("j"), F.col("y").alias("of")))
@@ -142,6 +151,32 @@ def survivors(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return at.select("id", log.alias("l"), (~is_kept).alias("dropped")).filter("l is not null").select("id", F.col("l.of").alias("duplicate_of"), F.col("l.kind").alias("kind"), F.col("l.j").alias("jaccard"), "dropped")
 
 
+def _settled(state: DataFrame, inside: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The state with its open nodes, at most SETTLED_AT_ONCE, visited one after the other in one task."""
+    open_ = state.filter("kept is null").select("id")
+    links = inside.join(open_.withColumnRenamed("id", "x"), "x").join(state.select(F.col("id").alias("y"), F.col("kept").alias("y_kept")), "y")
+    # what a node needs to know: whether a settled neighbour is kept, and which neighbours are open, themselves few
+    per = links.groupBy("x").agg(F.bool_or(F.coalesce("y_kept", F.lit(False))).alias("beaten"), F.collect_list(F.when(F.col("y_kept").isNull(), F.col("y"))).alias("open"))
+    rows = per.join(nodes.select(F.col("id").alias("x"), "o"), "x").select(F.lit(0).alias("one"), "x", "beaten", "open", "o")
+    kind = dict(state.dtypes)["id"]
+
+    def visited(group: pa.Table) -> pa.Table:
+        held: dict = {}
+        ids, beaten, near = (group.column(c).to_pylist() for c in ("x", "beaten", "open"))
+        for k in _in_order(group):
+            held[ids[k]] = not beaten[k] and not any(held.get(y, False) for y in near[k])
+        return pa.table([pa.array(list(held)), pa.array(list(held.values()), pa.bool_())], names=["x", "now"])
+
+    now = rows.groupBy("one").applyInArrow(visited, f"x {kind}, now boolean")
+    return state.join(now, F.col("id") == F.col("x"), "left").select("id", F.coalesce("kept", "now").alias("kept"))
+
+
+def _in_order(group: pa.Table) -> list[int]:
+    """Places of a group's rows by their visiting order, compared field by field."""
+    keys = [tuple(o.values()) for o in group.column("o").to_pylist()]
+    return sorted(range(len(keys)), key=keys.__getitem__)
+
+
 def _signed(permutations: int, seed: int, digest: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(seed)

@@ -5,15 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """End the lineage in the checkpoint folder, setting a temporary one only where none is set."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        import tempfile
-
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corvane-"))
-    return df.checkpoint()
+from corvane.operators.stage import cut, drop_since, mark
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -23,6 +15,7 @@ def components(edges: DataFrame) -> DataFrame:
     neighbourhood, small stars the smaller ones; rounds are logarithmic in a
     component's size, and only a count and a checksum reach the driver.
     """
+    since = mark()
     e = cut(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     sign = None
     while True:
@@ -33,6 +26,7 @@ def components(edges: DataFrame) -> DataFrame:
         low = down.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), "m")
         small = down.join(low, F.col("a") == F.col("k")).select(F.col("m").alias("a"), "b").filter("a <> b")
         e = cut(small.unionByName(low.select(F.col("m").alias("a"), F.col("k").alias("b"))).distinct())
+        drop_since(since)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == sign or not now[0]:
             break
@@ -41,8 +35,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def copy_groups(log: DataFrame) -> DataFrame:
-    """(id, duplicate_of, dropped) to id, copies: the other members of its group over kept links, sorted. A missing flag counts as dropped."""
+    """(id, duplicate_of, dropped) to id, component, members: the least id of the group over kept links, and the group's size. A missing flag counts as dropped.
+
+    Membership stands for the lists of all others, whose lengths would add up to the square of a group's size.
+    """
     links = log.filter(~F.coalesce(F.col("dropped"), F.lit(True))).select(F.col("id").alias("a"), F.col("duplicate_of").alias("b"))
     c = components(links)
-    members = c.groupBy("component").agg(F.sort_array(F.collect_set("node")).alias("members"))
-    return c.join(members, "component").select(F.col("node").alias("id"), F.filter("members", lambda x: x != F.col("node")).alias("copies"))
+    sizes = c.groupBy(F.col("component").alias("of")).agg(F.count("*").alias("members"))
+    return c.join(sizes, F.col("component") == F.col("of")).select(F.col("node").alias("id"), "component", "members")

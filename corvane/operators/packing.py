@@ -12,9 +12,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvane.functions import text as tx
+from corvane.operators.stage import running
 
 VAL_FRACTION, MIN_VAL_DOCS, ROWS_PER_SHARD, IGNORED = 0.001, 2000, 1000, -100
-SLICES = 64
 
 
 def split_by_document(docs: DataFrame, fraction: float = VAL_FRACTION, minimum: int = MIN_VAL_DOCS, seed: int = 0, check: bool = True) -> DataFrame:
@@ -36,21 +36,8 @@ def split_by_document(docs: DataFrame, fraction: float = VAL_FRACTION, minimum:
 
 
 def starts(docs: DataFrame, tokens: Column, by: tuple[str, ...] = ("source", "split"), order: str = "ord") -> DataFrame:
-    """Adds t, the tokens with the end, and start, the tokens of the group before, in the order of a unique number.
-
-    Two levels: totals of value ranges of the order, then a window within one range.
-    """
-    lo, hi = docs.agg(F.min(order), F.max(order)).first()
-    width = max(1, -(-((hi or 0) - (lo or 0) + 1) // SLICES))
-    rows = docs.withColumns({"t": tokens.cast("long"), "slice_": F.floor((F.col(order) - F.lit(lo or 0)) / F.lit(width)).cast("int")})
-    earlier = W.partitionBy(*by).orderBy("slice_").rowsBetween(W.unboundedPreceding, -1)
-    sums = rows.groupBy(*by, "slice_").agg(F.sum("t").alias("sum_")).select(*[F.col(c).alias(f"g_{c}") for c in by], F.col("slice_").alias("g_slice"), F.coalesce(F.sum("sum_").over(earlier), F.lit(0)).alias("base_"))
-    same = F.col("slice_") == F.col("g_slice")
-    for c in by:
-        same &= F.col(c).eqNullSafe(F.col(f"g_{c}"))
-    inner = W.partitionBy(*by, "slice_").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    out = rows.join(sums, same).withColumn("start", F.col("base_") + F.coalesce(F.sum("t").over(inner), F.lit(0)))
-    return out.drop("slice_", "g_slice", "base_", *[f"g_{c}" for c in by])
+    """Adds t, the tokens with the end, and start, the tokens of the group before, in the order of a unique number."""
+    return running(docs.withColumn("t", tokens.cast("long")), F.col("t"), "start", order, by=by)
 
 
 def pieces(placed: DataFrame, row_len: int | Column) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvane.functions import text as tx
+from corvane.operators.stage import running
 
 
 def _over(a: Column, b: Column, zero: Column | None = None) -> Column:
@@ -26,11 +27,13 @@ def agreement(df: DataFrame, by: list[str], label: str = "label", pred: str = "p
 def threshold_scan(df: DataFrame, p: str = "p", label: str = "label") -> DataFrame:
     """threshold, tp, fp, fn, precision, recall, f1 at every observed probability: running totals from the highest down.
 
-    Totals run over the distinct probabilities, summed before.
+    Totals run over the distinct probabilities, summed before, range by range.
     """
-    per = df.groupBy(p).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count("*").alias("all"))
-    down = W.orderBy(F.col(p).desc())
-    rows = per.select(F.col(p).alias("threshold"), F.sum("pos").over(down).alias("tp"), (F.sum("all").over(down) - F.sum("pos").over(down)).alias("fp"), (F.sum("pos").over(W.partitionBy()) - F.sum("pos").over(down)).alias("fn"))
+    per = df.groupBy(F.col(p).alias("threshold")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count("*").alias("all"))
+    down = running(running(per, F.col("pos"), "pos_above", F.col("threshold").desc()), F.col("all"), "all_above", F.col("threshold").desc())
+    total = per.agg(F.sum("pos").alias("positives"))  # one row
+    tp = F.col("pos_above") + F.col("pos")
+    rows = down.crossJoin(F.broadcast(total)).select("threshold", tp.alias("tp"), (F.col("all_above") + F.col("all") - tp).alias("fp"), (F.col("positives") - tp).alias("fn"))
     precision, recall = _over(F.col("tp"), F.col("tp") + F.col("fp")), _over(F.col("tp"), F.col("tp") + F.col("fn"))
     return rows.withColumns({"precision": precision, "recall": recall}).withColumn("f1", _over(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
@@ -55,7 +58,7 @@ def paired_bootstrap(pairs: DataFrame, samples: int = 1000, seed: int = 0, alpha
     """
     spark = pairs.sparkSession
     items = pairs.select("id").distinct()
-    numbered = items.withColumn("k", F.row_number().over(W.orderBy("id")) - 1)  # the items of an evaluation set
+    numbered = running(items, F.lit(1).cast("long"), "k", "id")
     n = items.count()
     draws = spark.range(samples * n).select(F.floor(F.col("id") / n).alias("s"), F.floor(tx.unit(seed, F.col("id").cast("string")) * n).cast("long").alias("k"))
     drawn = draws.groupBy("s", "k").agg(F.count("*").alias("times"))
@@ -131,10 +134,13 @@ def quota_capped(rows: DataFrame, quota: DataFrame, order: str = "ord") -> DataF
 def whole_group_sample(rows: DataFrame, cap: int) -> DataFrame:
     """(type, grp, ...): whole groups in hash order while they fit the cap of their type; one that does not fit is skipped, later ones may.
 
-    The fold runs over one entry a group; groups over the cap never fit and are left out before.
+    Of the groups of one size no more than the first cap // size can be kept,
+    as room only shrinks, so the fold runs over those: about cap * log(cap).
     """
-    sizes = rows.groupBy("type", "grp").agg(F.count("*").alias("n")).filter(F.col("n") <= cap)
-    lists = sizes.groupBy("type").agg(F.sort_array(F.collect_list(F.struct(tx.sha256(F.concat(F.lit("sample:"), F.col("grp"))).alias("h"), "grp", "n"))).alias("g"))
+    sizes = rows.groupBy("type", "grp").agg(F.count("*").alias("n")).filter(F.col("n") <= cap).withColumn("h", tx.sha256(F.concat(F.lit("sample:"), F.col("grp"))))
+    nth = F.row_number().over(W.partitionBy("type", "n").orderBy("h", "grp"))
+    able = sizes.withColumn("nth", nth).filter((F.col("nth") <= cap) & (F.col("nth") <= F.floor(F.lit(cap) / F.col("n"))))
+    lists = able.groupBy("type").agg(F.sort_array(F.collect_list(F.struct("h", "grp", "n"))).alias("g"))
     start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<string>").alias("kept"))
 
     def step(acc, x):

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvane.functions import text as tx
@@ -15,16 +17,18 @@ from corvane.functions import text as tx
 def char_f1(pairs: DataFrame, a: str, b: str, keys: list[str], n: int = 3) -> DataFrame:
     """keys, char_f1: F1 of the character n-gram multisets, 0 if either text is blank.
 
-    Grams are counted on both sides and joined by (key, gram); nothing is
-    compared pairwise within a text.
+    Grams of both sides are counted in one aggregation by (key, gram); nothing
+    is compared pairwise within a text.
     """
     rows = pairs.select(*keys, tx.squeezed(F.col(a)).alias("a"), tx.squeezed(F.col(b)).alias("b"))
-    side = lambda c, name: rows.select(*keys, F.explode(tx.char_grams(F.col(c), n)).alias("g")).groupBy(*keys, "g").agg(F.count("*").alias(name))
-    both = side("a", "x").join(side("b", "y"), [*keys, "g"]).groupBy(*keys).agg(F.sum(F.least("x", "y")).alias("same"))
-    count = lambda c: F.when(F.length(c) >= n, F.length(c) - n + 1).when(F.length(c) > 0, 1).otherwise(0)
-    out = rows.withColumns({"na": count("a"), "nb": count("b")}).join(both, keys, "left")
+    sides = F.array(*(F.struct(F.lit(k).alias("left"), tx.char_grams(F.col(c), n).alias("grams")) for k, c in ((1, "a"), (0, "b"))))
+    grams = rows.select(*keys, F.inline(sides)).select(*keys, "left", F.explode("grams").alias("g"))
+    both = grams.groupBy(*keys, "g").agg(F.sum("left").alias("x"), F.sum(1 - F.col("left")).alias("y"))
+    both = both.groupBy(*keys).agg(F.sum("x").alias("na"), F.sum("y").alias("nb"), F.sum(F.least("x", "y")).alias("same"))
+    both = both.select(*(F.col(k).alias(f"of_{k}") for k in keys), "na", "nb", "same")
+    same_key = functools.reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in keys))
     p, r = F.col("same") / F.col("na"), F.col("same") / F.col("nb")
-    return out.select(*keys, F.when(F.col("same") > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0)).alias("char_f1"))
+    return pairs.select(*keys).join(both, same_key, "left").select(*keys, F.when(F.col("same") > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0)).alias("char_f1"))
 
 
 def gram_counts(texts: DataFrame, key: list[str], column: str, n: int) -> DataFrame:
@@ -34,11 +38,18 @@ def gram_counts(texts: DataFrame, key: list[str], column: str, n: int) -> DataFr
 
 
 def distinct_n(texts: DataFrame, by: list[str], column: str, orders: tuple[int, ...] = (1, 2, 3, 4)) -> DataFrame:
-    """by, n, total, unique, ratio of distinct word n-grams, told apart by 64-bit hashes."""
+    """by, n, total, unique, ratio of distinct word n-grams, told apart by 64-bit hashes.
+
+    Words are exploded once, each beside those that follow it; all orders are
+    counted from that.
+    """
+    most = max(orders)
     rows = texts.select(*by, tx.word_list(F.col(column)).alias("w"))
-    grams = rows.withColumn("n", F.explode(F.array(*map(F.lit, orders)))).filter(F.size("w") >= F.col("n"))
-    grams = grams.select(*by, "n", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1), lambda i: F.xxhash64(F.slice("w", i, F.col("n"))))).alias("g"))
-    per = grams.groupBy(*by, "n", "g").agg(F.count("*").alias("c"))
+    ahead = F.arrays_zip(*(F.slice("w", k + 1, F.greatest(F.size("w") - k, F.lit(0))).alias(f"w{k}") for k in range(most)))
+    at = rows.filter(F.size("w") > 0).select(*by, F.inline(ahead))
+    at = at.toDF(*by, *(f"w{k}" for k in range(most)))
+    grams = F.array(*(F.struct(F.lit(n).alias("n"), F.when(F.col(f"w{n - 1}").isNotNull(), F.xxhash64(*(F.col(f"w{k}") for k in range(n)))).alias("g")) for n in orders))
+    per = at.select(*by, F.inline(grams)).filter("g is not null").groupBy(*by, "n", "g").agg(F.count("*").alias("c"))
     return per.groupBy(*by, "n").agg(F.sum("c").alias("total"), F.count("*").alias("unique"), (F.count("*").cast("double") / F.sum("c")).alias("ratio"))
 
 
@@ -46,8 +57,14 @@ def duplicate_clusters(texts: DataFrame, by: list[str], column: str) -> DataFram
     """by, clusters, members, fraction, the five largest sizes: a cluster is a text that occurs twice or more."""
     per = texts.groupBy(*by, F.xxhash64(column).alias("k"), F.length(column).alias("l")).agg(F.count("*").alias("c"))
     many = F.col("c") > 1
-    top = F.slice(F.sort_array(F.collect_list(F.when(many, F.col("c"))), False), 1, 5)
-    return per.groupBy(*by).agg(F.count_if(many).alias("clusters"), F.coalesce(F.sum(F.when(many, F.col("c"))), F.lit(0)).alias("members"), (F.coalesce(F.sum(F.when(many, F.col("c"))), F.lit(0)).cast("double") / F.sum("c")).alias("fraction"), top.alias("largest"))
+    place = F.row_number().over(W.partitionBy(*by).orderBy(F.col("c").desc()))
+    first = per.filter(many).withColumn("place", place).filter("place <= 5")  # a window that keeps five rows a group
+    first = first.groupBy(*by).agg(F.sort_array(F.collect_list("c"), False).alias("largest"))
+    first = first.select("largest", *(F.col(c).alias(f"of_{c}") for c in by))
+    top = F.coalesce("largest", F.array().cast("array<bigint>"))
+    out = per.groupBy(*by).agg(F.count_if(many).alias("clusters"), F.coalesce(F.sum(F.when(many, F.col("c"))), F.lit(0)).alias("members"), (F.coalesce(F.sum(F.when(many, F.col("c"))), F.lit(0)).cast("double") / F.sum("c")).alias("fraction"))
+    same = functools.reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in by))
+    return out.join(first, same, "left").select(*by, "clusters", "members", "fraction", top.alias("largest"))
 
 
 def corpus_bleu(pairs: DataFrame, by: list[str], key: str, hyp: str, ref: str, max_n: int = 4) -> DataFrame:
@@ -123,8 +140,6 @@ def self_bleu(texts: DataFrame, by: str, column: str, sample: int = 300, refs: i
 
     Sampling is the measure: at most `sample` texts of a group come together.
     """
-    from pyspark.sql import Window as W
-
     key = F.xxhash64(column, F.lit("self"))
     some = texts.select(by, column, F.row_number().over(W.partitionBy(by).orderBy(key, column)).alias("k")).filter(F.col("k") <= max(sample, refs + 1))
 

@@ -38,7 +38,7 @@ def citation_parts(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", "p.kind", "p.code", "p.paragraph", "p.article", "p.court", "p.docket", "p.number", citations.act_of(F.col("cid")).alias("act"))
 
 
-_ANSWER = """CASE turn % 6 WHEN 0 THEN concat(substr(text, 1, 20), '<|q|><|c', CAST(conv_id % 5 + 1 AS STRING), '|><|s1|><|s2|>', EOS) WHEN 1 THEN concat(text, '<|cite|><|c', CAST(turn AS STRING), '|>') WHEN 2 THEN '<|unanswerable|>' WHEN 3 THEN concat('A claim. ', '<|q|><|c1|><|s', CAST(conv_id % 4 + 1 AS STRING), '|><|s', CAST(conv_id % 3 + 2 AS STRING), '|>')
+_ANSWER = """CASE turn % 6 WHEN 0 THEN concat(text, '<|q|><|c', CAST(conv_id % 5 + 1 AS STRING), '|><|s1|><|s2|>', EOS) WHEN 1 THEN concat(text, '<|cite|><|c', CAST(turn AS STRING), '|>') WHEN 2 THEN '<|unanswerable|>' WHEN 3 THEN concat('A claim. ', '<|q|><|c1|><|s', CAST(conv_id % 4 + 1 AS STRING), '|><|s', CAST(conv_id % 3 + 2 AS STRING), '|>')
 WHEN 4 THEN concat('<|q|><|c1|>', text) ELSE concat('<|cite|><|c2|><|s3|><|s3|> and <|junk|>', CAST(turn AS STRING)) END""".replace("EOS", "'<|endoftext|>'")
 
 

@@ -76,10 +76,10 @@ def paper_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""WITH w AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents) SELECT doc_id, k::INT AS k, line,
-last_value(CASE WHEN k % 3 = 1 THEN substr(line, 1, 20) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS heading FROM w""")
+last_value(CASE WHEN k % 3 = 1 THEN line END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS heading FROM w""")
 def heading_carry_forward(spark: SparkSession, sf: str) -> DataFrame:
     w = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "line")).withColumn("k", F.col("p") + 1)
-    last = F.last(F.when(F.col("k") % 3 == 1, F.substring("line", 1, 20)), ignorenulls=True).over(W.partitionBy("doc_id").orderBy("k").rowsBetween(W.unboundedPreceding, 0))
+    last = F.last(F.when(F.col("k") % 3 == 1, F.col("line")), ignorenulls=True).over(W.partitionBy("doc_id").orderBy("k").rowsBetween(W.unboundedPreceding, 0))
     return w.select("doc_id", "k", "line", last.alias("heading"))
 
 

@@ -89,14 +89,14 @@ def manifest_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _TOKENS = "CASE WHEN trim(regexp_replace(text, '[\\s\\x{0B}\\x{85}\\p{Z}]+', ' ', 'g')) = '' THEN 0 ELSE ceil(2.28::DOUBLE * len(string_split(trim(regexp_replace(text, '[\\s\\x{0B}\\x{85}\\p{Z}]+', ' ', 'g')), ' '))) END::INT"
-_RATIO = f"""{docs_cte("ord", "jurisdiction", "licence", "n_chars", "text")}, s AS (SELECT *, {_TOKENS} AS tokens FROM (SELECT *, row_number() OVER (ORDER BY ord) - 1 AS rn, count(*) OVER () AS n FROM docs) WHERE rn % greatest(1, n // 200) = 0),
+_RATIO = f"""{docs_cte("ord", "jurisdiction", "licence", "n_chars", "text")}, s AS (SELECT *, {_TOKENS} AS tokens FROM (SELECT *, row_number() OVER (PARTITION BY jurisdiction ORDER BY ord) - 1 AS rn, count(*) OVER (PARTITION BY jurisdiction) AS n FROM docs) WHERE rn % greatest(1, n // 2000) = 0),
 ratio AS (SELECT jurisdiction, sum(tokens)::DOUBLE / sum(n_chars) AS ratio, sum(tokens)::BIGINT AS tokens, sum(n_chars)::BIGINT AS chars FROM s WHERE jurisdiction <> 'EU' GROUP BY jurisdiction)"""
 
 
 @query(f"WITH {_RATIO} SELECT * FROM ratio")
 def stride_ratio(spark: SparkSession, sf: str) -> DataFrame:
-    """Tokens per character on every k-th document."""
-    some = corpus.strided(documents(spark, sf, "ord", "jurisdiction", "n_chars", "text"), 200).filter("jurisdiction <> 'EU'")
+    """Tokens per character on every k-th document of each jurisdiction."""
+    some = corpus.strided(documents(spark, sf, "ord", "jurisdiction", "n_chars", "text"), 2000, by=("jurisdiction",)).filter("jurisdiction <> 'EU'")
     return corpus.tokens_per_char(some, tx.estimated_tokens(F.col("text")))
 
 
@@ -239,7 +239,7 @@ def party_questions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""WITH a AS (SELECT conv_id, role, turn, CASE WHEN turn % 3 = 0 THEN text ELSE text || '<|endoftext|>' END AS answer FROM conversations)
-SELECT role, count(*) AS n, count(*) FILTER (NOT ends_with(answer, '<|endoftext|>')) AS truncated, count(*) FILTER (NOT ends_with(answer, '<|endoftext|>'))::DOUBLE / count(*) AS rate, list_sort(list(conv_id) FILTER (NOT ends_with(answer, '<|endoftext|>') AND conv_id < 20)) AS ids FROM a GROUP BY role""")
+SELECT role, count(*) AS n, count(*) FILTER (NOT ends_with(answer, '<|endoftext|>')) AS truncated, count(*) FILTER (NOT ends_with(answer, '<|endoftext|>'))::DOUBLE / count(*) AS rate, list_sort(list(conv_id) FILTER (NOT ends_with(answer, '<|endoftext|>'))) AS ids FROM a GROUP BY role""")
 def truncation_rates(spark: SparkSession, sf: str) -> DataFrame:
     a = table(spark, sf, "conversations").withColumn("answer", F.when(F.col("turn") % 3 == 0, F.col("text")).otherwise(F.concat("text", F.lit("<|endoftext|>"))))
     cut = filters.truncated(F.col("answer"))

@@ -53,9 +53,9 @@ def dedup_survivors(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH RECURSIVE {_SHINGLES}, e AS (SELECT a, b FROM p WHERE jaccard >= 0.8 UNION SELECT rep, id FROM c WHERE id <> rep), sym AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 walk AS (SELECT DISTINCT a AS node, a AS seen FROM sym UNION SELECT walk.node, sym.b FROM walk JOIN sym ON walk.seen = sym.a)
-SELECT node AS id, list_sort(list(seen) FILTER (seen <> node)) AS copies FROM walk GROUP BY node""")
+SELECT node AS id, min(seen) AS component, count(*) AS members FROM walk GROUP BY node""")
 def copy_groups(spark: SparkSession, sf: str) -> DataFrame:
-    """Groups over similar pairs, every member with the others."""
+    """Groups over similar pairs: each member with its group's least id and size."""
     pairs = dedup.near_pairs(documents(spark, sf, "id", "text"))
     return graph.copy_groups(pairs.select(F.col("a").alias("duplicate_of"), F.col("b").alias("id"), F.lit(False).alias("dropped")))
 
@@ -74,7 +74,8 @@ def dropped_anti_join(spark: SparkSession, sf: str) -> DataFrame:
     return docs.select("id", "source").join(gone, "id", "left_anti")
 
 
-_KEY = "sha256(rtrim(trim(regexp_replace(lower({0}), '[\\s\\x{{0B}}\\x{{85}}\\p{{Z}}]+', ' ', 'g')), '?. '))"
+#: The key in SQL, which has no full case folding: that of the letters whose folding is longer than, or other than, their small form in these texts' languages.
+_KEY = "sha256(rtrim(trim(regexp_replace(replace(replace(lower(nfc_normalize({0})), 'ß', 'ss'), 'ς', 'σ'), '[\\s\\x{{0B}}\\x{{85}}\\p{{Z}}]+', ' ', 'g')), '?. '))"
 
 
 @query(f"SELECT item_id, {_KEY.format('text')} AS question_key FROM benchmark")

@@ -63,13 +63,13 @@ r{n} AS (SELECT conv_id, turn, g, count(*) AS m FROM (SELECT conv_id, turn, unne
 p{n} AS (SELECT role, sum(least(n, COALESCE(m, 0)))::DOUBLE / sum(n) AS p FROM h{n} LEFT JOIN r{n} USING (conv_id, turn, g) GROUP BY role),""" for n in (1, 2, 3, 4))
 
 
-@query(f"""WITH {_PAIRS}, t AS (SELECT conv_id, turn, role, {_SPLIT.format('text')} AS h, {_SPLIT.format("concat(text, ' ', substr(prev, 1, 40))")} AS r FROM pairs), {_BLEU}
+@query(f"""WITH {_PAIRS}, t AS (SELECT conv_id, turn, role, {_SPLIT.format('text')} AS h, {_SPLIT.format("concat(text, ' ', prev)")} AS r FROM pairs), {_BLEU}
 l AS (SELECT role, sum(len(h)) AS hl, sum(len(r)) AS rl FROM t GROUP BY role)
 SELECT role, round(CASE WHEN hl > rl THEN 1 ELSE exp(1 - rl::DOUBLE / hl) END * CASE WHEN least(COALESCE(p1.p, 0), COALESCE(p2.p, 0), COALESCE(p3.p, 0), COALESCE(p4.p, 0)) = 0 THEN 0 ELSE exp((ln(p1.p) + ln(p2.p) + ln(p3.p) + ln(p4.p)) / 4) END, 9) AS bleu
 FROM l LEFT JOIN p1 USING (role) LEFT JOIN p2 USING (role) LEFT JOIN p3 USING (role) LEFT JOIN p4 USING (role)""")
 def corpus_bleu(spark: SparkSession, sf: str) -> DataFrame:
-    """Turns against themselves with the start of the one before appended."""
-    p = _turn_pairs(spark, sf).withColumns({"ref": F.concat("text", F.lit(" "), F.substring("prev", 1, 40)), "k": F.concat_ws(":", "conv_id", "turn")})
+    """Turns against themselves with the one before appended."""
+    p = _turn_pairs(spark, sf).withColumns({"ref": F.concat("text", F.lit(" "), "prev"), "k": F.concat_ws(":", "conv_id", "turn")})
     return text_metrics.corpus_bleu(p, ["role"], "k", "text", "ref")
 
 
@@ -80,7 +80,7 @@ def rouge_l(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def self_bleu(spark: SparkSession, sf: str) -> DataFrame:
-    return text_metrics.self_bleu(table(spark, sf, "conversations"), "role", "text", 100, 20)
+    return text_metrics.self_bleu(table(spark, sf, "conversations"), "role", "text")
 
 
 _PRED = "SELECT l.doc_id, d.lang, d.source, l.quality AS label, CASE WHEN contains(d.text, '***') OR contains(d.text, '!!') OR d.n_chars < 200 THEN 0 ELSE 1 END AS pred, (d.n_chars % 97) / 97.0::DOUBLE AS p FROM labels l JOIN documents d USING (doc_id)"
@@ -130,14 +130,14 @@ def sparse_paired_items(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH m AS ({_METRICS}), i AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT id FROM m)), nn AS (SELECT max(n) AS n FROM i),
-d AS (SELECT x // n AS s, floor(('0x' || substr(sha256('11:' || x), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616.0 * n)::BIGINT AS k FROM nn, range(0, 200 * (SELECT n FROM nn)) r(x)),
+d AS (SELECT x // n AS s, floor(('0x' || substr(sha256('11:' || x), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616.0 * n)::BIGINT AS k FROM nn, range(0, 1000 * (SELECT n FROM nn)) r(x)),
 dr AS (SELECT s, k, count(*) AS times FROM d GROUP BY s, k), per AS (SELECT metric, s, round(sum(times * (a - b)) / sum(times), 9) AS d FROM dr JOIN i USING (k) JOIN m USING (id) GROUP BY metric, s),
 pt AS (SELECT metric, count(*) AS n, round(avg(a), 9) AS a, round(avg(b), 9) AS b, round(avg(a - b), 9) AS diff FROM m GROUP BY metric),
 rk AS (SELECT metric, d, diff, row_number() OVER (PARTITION BY metric ORDER BY d) - 1 AS r, count(*) OVER (PARTITION BY metric) AS c FROM per JOIN pt USING (metric)),
 ci AS (SELECT metric, max(d) FILTER (r = greatest(0, floor(0.025::DOUBLE * c)::BIGINT - 1)) AS ci_low, max(d) FILTER (r = least(c - 1, floor(0.975::DOUBLE * c)::BIGINT)) AS ci_high, (count(*) FILTER (CASE WHEN diff > 0 THEN d <= 0 WHEN diff < 0 THEN d >= 0 ELSE true END))::DOUBLE / count(*) AS frac_sign_flipped FROM rk GROUP BY metric)
 SELECT *, ci_low > 0 OR ci_high < 0 AS significant FROM pt JOIN ci USING (metric)""")
 def paired_bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.paired_bootstrap(_metrics(spark, sf), 200, 11)
+    return stats.paired_bootstrap(_metrics(spark, sf), 1000, 11)
 
 
 def _scalars(spark: SparkSession, sf: str) -> DataFrame:
@@ -152,7 +152,7 @@ def step_curves(spark: SparkSession, sf: str) -> DataFrame:
     return stats.step_curves(stats.latest_only(_scalars(spark, sf)), 500, ("view", "click"), ("view",), ("purchase", "login", "signup"))
 
 
-@query("SELECT 'r' || (o_custkey % 9) AS run, round(sum(o_totalprice * (o_orderkey % 50 + 1)) / sum(o_orderkey % 50 + 1), 9) AS s_per_step, max(o_totalprice) AS peak_gb, count(*) AS legs FROM orders WHERE o_orderkey % 100 = 0 GROUP BY ALL")
+@query("SELECT 'r' || (o_custkey % 9) AS run, round(sum(o_totalprice * (o_orderkey % 50 + 1)) / sum(o_orderkey % 50 + 1), 9) AS s_per_step, max(o_totalprice) AS peak_gb, count(*) AS legs FROM orders GROUP BY ALL")
 def leg_merge(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "orders").selectExpr("concat('r', CAST(o_custkey % 9 AS STRING)) AS run", "o_totalprice AS s", "o_orderkey % 50 + 1 AS n", "o_totalprice AS gb")
     return stats.merged_legs(rows)
@@ -205,10 +205,10 @@ def whole_group_sample(spark: SparkSession, sf: str) -> DataFrame:
     return stats.whole_group_sample(rows, 60)
 
 
-@query("SELECT regexp_replace(substr(props, 1, 12), '[0-9]+', 'N', 'g') AS reason, count(*) AS n FROM events GROUP BY ALL")
+@query("SELECT regexp_replace(props, '[0-9]+', 'N', 'g') AS reason, count(*) AS n FROM events GROUP BY ALL")
 def rejection_histogram(spark: SparkSession, sf: str) -> DataFrame:
     """Reasons with their digits folded."""
-    return table(spark, sf, "events").groupBy(F.regexp_replace(F.substring("props", 1, 12), "[0-9]+", "N").alias("reason")).agg(F.count("*").alias("n"))
+    return table(spark, sf, "events").groupBy(F.regexp_replace("props", "[0-9]+", "N").alias("reason")).agg(F.count("*").alias("n"))
 
 
 @query("""SELECT event_type, metric, round(avg(v), 9) AS mean, count(v) AS n, count(*) - count(v) AS unparsed FROM (SELECT event_type, 'value' AS metric, CASE WHEN event_id % 10 > 0 THEN value END AS v FROM events UNION ALL SELECT event_type, 'k', TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) FROM events) GROUP BY ALL""")

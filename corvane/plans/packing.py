@@ -146,7 +146,7 @@ def mixture_schedule(spark: SparkSession, sf: str) -> DataFrame:
     return mixture.schedule(spark, steps, counts, 3000, seed=5, start=500)
 
 
-@query("SELECT o_orderkey, (o_orderkey % 8)::INT AS rank, o_orderkey // 8 AS turn FROM orders WHERE o_orderkey < 9997 - 9997 % 8 AND o_orderkey // 8 >= 100")
+@query("SELECT o_orderkey, (o_orderkey % 8)::INT AS rank, o_orderkey // 8 AS turn FROM orders WHERE o_orderkey < (SELECT count(*) - count(*) % 8 FROM orders) AND o_orderkey // 8 >= 100")
 def rank_shards(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "orders").select("o_orderkey")
     return mixture.rank_rows(rows.count(), rows, "o_orderkey", 8, 100).select("o_orderkey", "rank", "turn")

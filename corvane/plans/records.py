@@ -22,7 +22,7 @@ def query(oracle: str | None = None):
     return register
 
 
-_CHUNKS = f"""{docs_cte("ord", "id", "citation_id", "text")}, ch AS (SELECT id || '#1' AS chunk_id, id AS doc_id, ord, citation_id, [citation_id || ' Satz 1', citation_id || ' Satz 2'] AS labels, substr(text, 1, 100) AS text FROM docs)"""
+_CHUNKS = f"""{docs_cte("ord", "id", "citation_id", "text")}, ch AS (SELECT id || '#1' AS chunk_id, id AS doc_id, ord, citation_id, [citation_id || ' Satz 1', citation_id || ' Satz 2'] AS labels, text FROM docs)"""
 
 
 def _chunks(spark: SparkSession, sf: str) -> DataFrame:
@@ -134,7 +134,7 @@ def licence_flags(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.licence_flags(documents(spark, sf, "id", "licence"))
 
 
-@query("""SELECT conv_id, 'Frage: ' || min(text) FILTER (turn = 0) || chr(10) || string_agg('[' || (turn + 1) || '] ' || substr(text, 1, 30), chr(10) ORDER BY turn) AS prompt FROM conversations GROUP BY conv_id""")
+@query("""SELECT conv_id, 'Frage: ' || min(text) FILTER (turn = 0) || chr(10) || string_agg('[' || (turn + 1) || '] ' || text, chr(10) ORDER BY turn) AS prompt FROM conversations GROUP BY conv_id""")
 def judge_prompts(spark: SparkSession, sf: str) -> DataFrame:
     """A question with its numbered passages."""
     c = table(spark, sf, "conversations")

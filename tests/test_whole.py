@@ -96,13 +96,43 @@ def test_prompts_and_chunks_hold_whole_texts(spark):
     assert [r["state"] for r in records.inconsistent(late, chunks).collect()] == ["differs"]
 
 
-def test_token_ids_with_added_tokens(spark):
-    from tokenizers import Tokenizer
-
-    from corvane.llm import op4_packing
-
-    theirs, rng = Tokenizer.from_file(op4_packing.vocabulary_path()), random.Random(2)
-    texts = ["x<|endoftext|>y", "<|endoftext|>", *("".join(rng.choice(["<|endoftext|>", "<|endoftext|", " ", "aß", "\n", "don't"]) for _ in range(12)) for _ in range(60))]
-    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["doc_id"]: list(np.frombuffer(r["ids"], "<u4")) for r in op4_packing.pieces(d, with_ids=True).collect()}
-    assert got == {k: [*theirs.encode(t, add_special_tokens=False).ids, op4_packing.END] for k, t in enumerate(texts)}
+def greedy(docs, sets, threshold=0.8):
+    """Kept ids in visiting order, one document at a time, against all kept ones of its source."""
+    kept = []
+    for d in docs:
+        s = sets[d["id"]]
+        if not any(k["source"] == d["source"] and (k["text"] == d["text"] or (s and len(s & sets[k["id"]]) >= threshold * len(s | sets[k["id"]]))) for k in kept):
+            kept.append(d)
+    return {k["id"] for k in kept}
+
+
+@pytest.mark.parametrize("at_once", [0, 50_000])
+def test_survivors_of_long_chains(spark, monkeypatch, at_once):
+    """Each text is near its neighbours only, so what is kept alternates along the chain, whether settled in rounds or at once."""
+    monkeypatch.setattr(dedup, "SETTLED_AT_ONCE", at_once)
+    rng = random.Random(3)
+    words, rows = [f"w{k}" for k in range(200)], []
+    for k in range(14):
+        rows.append((f"s:{k:02d}", "s", " ".join(words)))
+        words[rng.randrange(5 + k * 13, 10 + k * 13)] = f"x{k}"
+    rows += [(f"t:{k:02d}", "t", rows[k][2]) for k in range(0, 14, 3)] + [("s:90", "s", rows[0][2]), ("s:91", "s", "")]
+    d = spark.createDataFrame([(*r, True, False) for r in rows], "id string, source string, text string, commercial_safe boolean, research_only boolean")
+    sets = {r["id"]: set(r["set"]) for r in dedup.shingle_sets(d).collect()}
+    visited = sorted((dict(id=i, source=s, text=t) for i, s, t in rows), key=lambda x: (x["source"], x["id"]))
+    gone = {r["id"] for r in dedup.survivors(d).filter("dropped").collect()}
+    assert {x["id"] for x in visited} - gone == greedy(visited, sets)
+    assert 2 < len(gone) < len(rows) - 4
+
+
+def test_running_totals_over_ranges(spark, monkeypatch):
+    from corvane.operators import stage
+
+    monkeypatch.setattr(stage, "RANGE", 40)
+    rng = random.Random(4)
+    rows = [(k * k, rng.choice(["a", "b", None]), rng.randrange(9)) for k in range(300)]
+    got = stage.running(spark.createDataFrame(rows, "k long, g string, n long"), stage.F.col("n"), "before", "k", by=("g",)).collect()
+    want, seen = {}, {}
+    for k, g, n in sorted(rows):
+        want[k] = seen.get(g, 0)
+        seen[g] = want[k] + n
+    assert {r["k"]: r["before"] for r in got} == want
