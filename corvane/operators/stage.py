@@ -49,11 +49,11 @@ def mark() -> int:
 def drop_since(since: int) -> None:
     """Drop all tables staged since a mark but the last, when nothing else of them will be read."""
     for spark, path in _written[since:-1]:
-        _drop(spark, path)
+        dropped(spark, path)
     del _written[since:-1]
 
 
-def _drop(spark: SparkSession, path: str) -> None:
+def dropped(spark: SparkSession, path: str) -> None:
     with contextlib.suppress(Exception):  # the session may be gone
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
@@ -62,7 +62,7 @@ def _drop(spark: SparkSession, path: str) -> None:
 @atexit.register
 def _drop_all() -> None:
     for spark, path in _written:
-        _drop(spark, path)
+        dropped(spark, path)
 
 
 def ranged(df: DataFrame, *order: Column | str) -> DataFrame:
