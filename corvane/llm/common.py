@@ -80,22 +80,16 @@ def drop_since(since: int) -> None:
     del _staged[since:-1]
 
 
-#: Parts that the rows of a hot key are dealt to.
-SALTS = 32
+def split_join(rows: DataFrame, own: DataFrame, on, hot: Column, how: str = "inner") -> DataFrame:
+    """rows joined with own, which has one row a key, on on(rows, own).
 
-
-def salted_join(rows: DataFrame, own: DataFrame, key: str, right: str, by: str, keys: DataFrame) -> DataFrame:
-    """rows joined with own, which has one row a key, on rows[key] = own[right].
-
-    The rows of hot keys (hot_key) are dealt to SALTS parts by a hash of `by`,
-    and their row of own is sent to each. Only those keys are broadcast; the
-    caller bounds their number.
+    The rows of own that are hot (whose number the caller bounds) are broadcast
+    and met where the rows of their key lie; all others meet in a shuffle that
+    holds no hot key.
     """
-    dealt = rows.join(F.broadcast(keys), F.col(key) == F.col("hot_key"), "left")
-    dealt = dealt.withColumn("l_salt", F.when(F.col("hot_key").isNotNull(), F.pmod(F.xxhash64(by), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")).drop("hot_key")
-    sent = own.join(F.broadcast(keys), F.col(right) == F.col("hot_key"), "left")
-    sent = sent.withColumn("r_salt", F.explode(F.when(F.col("hot_key").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("hot_key")
-    return dealt.join(sent, (F.col(key) == F.col(right)) & (F.col("l_salt") == F.col("r_salt"))).drop("l_salt", "r_salt")
+    many, few = own.filter(hot), own.filter(~hot)
+    there = rows.join(F.broadcast(many), on(rows, many))
+    return there.unionByName(rows.join(F.broadcast(many), on(rows, many), "left_anti").join(few, on(rows, few), how))
 
 
 def bounded_batches(spark: SparkSession, size: int = 8 << 20) -> None:

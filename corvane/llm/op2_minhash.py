@@ -45,7 +45,9 @@ SHINGLE, REGISTERS, MANTISSA, BANDS, ROWS = 5, 240, 10, 48, 5
 #: Links: 100 * intersection >= PERCENT * union. Estimates under FLOOR, five standard deviations lower, are not confirmed.
 PERCENT, FLOOR = 75, 0.60
 #: Clusters up to this size are compared in one group, larger ones in blocks.
-SMALL, BLOCK, HOT_KEYS = 64, 256, 10_000
+SMALL, BLOCK = 64, 256
+#: Keys of at least HOT rows, and at most so many of them, are hot.
+HOT, HOT_KEYS = 1000, 10_000
 _U = np.uint64
 _MULTIPLIERS = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -252,24 +254,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     made = common.staged(rows.mapInArrow(_sketched, "doc_id long, n long, f1 long, f2 long, sketch binary"), "near-sketches")
     live = made.filter("n > 0 and doc_id is not null")
-    classes = live.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"))
-    of = classes.select(F.col("n").alias("k0"), F.col("f1").alias("k1"), F.col("f2").alias("k2"), "rep")
+    classes = live.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    of = common.staged(classes.select(F.col("n").alias("k0"), F.col("f1").alias("k1"), F.col("f2").alias("k2"), "rep", "copies"), "near-keys")
     same = (F.col("n") == F.col("k0")) & (F.col("f1") == F.col("k1")) & (F.col("f2") == F.col("k2"))
     reps = common.staged(live.join(of, same & (F.col("doc_id") == F.col("rep"))).select("rep", "n", "sketch"), "near-classes")
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.col("sketch").substr(k * (2 * ROWS) + 1, F.lit(2 * ROWS))))
     banded = reps.select("rep", F.explode(keys).alias("key"))
-    leaders = banded.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("size")).filter("size > 1").select(F.col("key").alias("b_key"), "leader", "size")
+    leaders = common.staged(banded.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("size")).filter("size > 1").select(F.col("key").alias("b_key"), "leader", "size"), "near-leaders")
     # a hot key has this many rows, so there are HOT_KEYS of them at most
-    least = max(1000, BANDS * reps.count() // HOT_KEYS)
-    buckets = common.staged(common.salted_join(banded, leaders, "key", "b_key", "rep", leaders.filter(F.col("size") >= least).select(F.col("b_key").alias("hot_key"))).select("key", "leader", "size", "rep"), "near-buckets")
+    least = max(HOT, max(BANDS * reps.count(), made.count()) // HOT_KEYS)
+    by_key = lambda x, y: x["key"] == y["b_key"]
+    buckets = common.staged(common.split_join(banded, leaders, by_key, F.col("size") >= least).select("key", "leader", "size", "rep"), "near-buckets")
     counted = buckets.filter("rep <> leader").groupBy(F.col("leader").alias("a"), F.col("rep").alias("b")).agg(F.count("*").alias("named"))
     na, nb = (reps.select(F.col("rep").alias(f"{x}_id"), F.col("n").alias(f"{x}_n")) for x in "ab")
     near = F.expr(f"100 * least(a_n, b_n) >= {PERCENT} * greatest(a_n, b_n)")
     stars = common.staged(counted.join(na, F.col("a") == F.col("a_id")).join(nb, F.col("b") == F.col("b_id")).filter(near).select("a", "b", "named"), "near-stars")
     # ids with several sets are one vertex, and so are the classes that hold them
     shared = common.staged(live.groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1").select(F.col("doc_id").alias("d")), "near-repeats")
-    several = live.join(of, same).filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    edges = several.join(shared, F.col("b") == F.col("d"), "left_semi")
+    several = live.join(shared, F.col("doc_id") == F.col("d"), "left_semi").join(of, same).filter("doc_id <> rep")
+    edges = several.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     first = stars.groupBy("b").agg(F.max(F.struct("named", (-F.col("a")).alias("a"))).alias("x")).select((-F.col("x.a")).alias("a"), "b")
     found = components(edges.unionByName(_links(first, reps, docs)))
     # from here on the stars stand for the edges that made them
@@ -281,8 +284,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if not more.isEmpty():
         found = components(stars_of(found).unionByName(more))
     comp = found.select(F.col("node"), "component")
-    per_class = of.join(comp, F.col("rep") == F.col("node"), "left").select("k0", "k1", "k2", F.coalesce("component", "rep").alias("class_component"))
-    out = made.join(per_class, same & F.col("doc_id").isNotNull(), "left")
+    per_class = of.join(comp, F.col("rep") == F.col("node"), "left").select("k0", "k1", "k2", "copies", F.coalesce("component", "rep").alias("class_component"))
+    of_class = lambda x, y: (x["n"] == y["k0"]) & (x["f1"] == y["k1"]) & (x["f2"] == y["k2"]) & x["doc_id"].isNotNull()
+    out = common.split_join(made.drop("sketch"), common.staged(per_class, "near-components"), of_class, F.col("copies") >= least, "left")
     component = F.coalesce("class_component", "doc_id")
     kept = F.coalesce(F.col("doc_id") == component, F.lit(True))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"))
@@ -341,7 +345,8 @@ def _open_links(buckets: DataFrame, found: DataFrame, reps: DataFrame, docs: Dat
     kinds = dict(dealt.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in dealt.columns)
     named = common.staged(dealt.groupBy("deal", "lo", "hi").applyInArrow(_named, schema), "near-named")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(named.select(F.col("rep").alias("w")).distinct(), F.col("doc_id") == F.col("w"), "left_semi")
+    wanted = common.staged(named.select(F.col("rep").alias("w")).distinct(), "near-wanted")  # its size decides whether texts are shuffled
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id") == F.col("w"), "left_semi")
     sets = common.staged(texts.mapInArrow(_sets, "doc_id long, shingles array<long>"), "near-sets")
     named = named.join(sets, F.col("rep") == F.col("doc_id")).select("deal", *columns, "sketch", "shingles")
     return named.groupBy("deal", "lo", "hi").applyInArrow(_met, "a long, b long").distinct()

@@ -70,8 +70,9 @@ def brute_components(rows):
     return {k: (len(sets[k]), root(k)) for k in sets}
 
 
-@pytest.mark.parametrize("name", ["docs", "planted"])
-def test_near_duplicates(name, request):
+@pytest.mark.parametrize(("name", "hot"), [("docs", 1000), ("planted", 1000), ("planted", 2)])
+def test_near_duplicates(name, hot, request, monkeypatch):
+    monkeypatch.setattr(op2_minhash, "HOT", hot)
     frame = request.getfixturevalue(name)
     want = brute_components(frame.select("doc_id", "text").collect())
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in op2_minhash.near_duplicates(frame).collect()}
