@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Word characters are all but these bytes: space and tab to carriage return.
-WORD = r"[^\x20\x09-\x0D]+"
+WORD, SPACE = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]"
 
 U64 = np.uint64
 _P = 0x9E3779B97F4A7C15 | 1

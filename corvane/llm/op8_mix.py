@@ -89,7 +89,9 @@ def inclusions(sized: DataFrame, goal: DataFrame, most: int = MOST) -> DataFrame
 
 def _sized(docs: DataFrame, seed: str) -> dict[str, Column]:
     """size, its binary digits, and u, which a row without an id draws by its text."""
-    size = F.coalesce(F.regexp_count("text", F.lit(common.WORD)), F.lit(0)).cast("long")
+    # each word with the white space around it becomes one character: no array of words is built
+    marks = F.regexp_replace("text", rf"{common.SPACE}*{common.WORD}{common.SPACE}*", "w")
+    size = F.when(F.col("text").rlike(common.WORD), F.length(marks)).otherwise(F.lit(0)).cast("long")
     key = F.coalesce(F.col("doc_id").cast("string"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
     return {"size": size, "u": common.unit_hash(F.concat(F.lit(f"{seed}:"), key))}
 
