@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import functools
+import inspect
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -100,6 +103,36 @@ def bounded_batches(spark: SparkSession, size: int = 8 << 20) -> None:
         spark.conf.set(name, str(size))
 
 
+def _trim() -> None:
+    """Give memory that is free in this process back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another libc keeps it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def released(f):
+    """An Arrow function after whose batches, or whose group, a worker keeps no more memory than it needs: idle ones stay beside the next stage's."""
+    if inspect.isgeneratorfunction(f):
+
+        @functools.wraps(f)
+        def batches(*args):
+            try:
+                yield from f(*args)
+            finally:
+                _trim()
+
+        return batches
+
+    @functools.wraps(f)
+    def group(*args):
+        try:
+            return f(*args)
+        finally:
+            _trim()
+
+    return group
+
+
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     """Whether crc32 of the id as text has this remainder; a null id is not held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder, F.lit(False))

@@ -272,6 +272,7 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[bytes], np.ndarray]
 
 
 def _scored(net: Net | None):
+    @common.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, offsets in common.chunks(batch.column(1), 1 << 16):
@@ -288,6 +289,7 @@ def predict(docs: DataFrame, net: Net | None) -> DataFrame:
 
 
 def _passing(net: Net | None, at: int):
+    @common.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, offsets in common.chunks(batch.column(at), 1 << 16):

@@ -117,6 +117,7 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
     return ((a == b).mean(axis=-1) - c) / (1 - c)
 
 
+@common.released
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, j, data, offsets in common.chunks(batch.column(1)):
@@ -129,6 +130,7 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(sk, pa.binary())], ["doc_id", "n", "f1", "f2", "sketch"])
 
 
+@common.released
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, j, data, offsets in common.chunks(batch.column(1)):
@@ -142,6 +144,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, REGISTERS)
 
 
+@common.released
 def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose sizes and estimate allow a link."""
     for batch in batches:
@@ -184,6 +187,7 @@ def _arrays(group: pa.Table) -> tuple[np.ndarray, ...]:
     return (*(group.column(c).to_numpy().copy() for c in ("rep", "component", "n")), sk)
 
 
+@common.released
 def _named(group: pa.Table) -> pa.Table:
     """The rows of a group that their sketches let link with another of it."""
     group = group.combine_chunks()
@@ -196,6 +200,7 @@ def _named(group: pa.Table) -> pa.Table:
     return group.filter(pa.array(some))
 
 
+@common.released
 def _met(group: pa.Table) -> pa.Table:
     """Links of one group between different components, confirmed on the full sets; linked components merge at once."""
     group = group.combine_chunks()
@@ -344,12 +349,12 @@ def _open_links(buckets: DataFrame, found: DataFrame, reps: DataFrame, docs: Dat
     dealt = dealt.join(sketches, F.col("rep") == F.col("s_rep")).select("deal", *columns, "sketch")
     kinds = dict(dealt.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in dealt.columns)
-    named = common.staged(dealt.groupBy("deal", "lo", "hi").applyInArrow(_named, schema), "near-named")
+    named = common.staged(dealt.groupBy("deal", "lo", "hi").applyInArrow(lambda g: _named(g), schema), "near-named")
     wanted = common.staged(named.select(F.col("rep").alias("w")).distinct(), "near-wanted")  # its size decides whether texts are shuffled
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id") == F.col("w"), "left_semi")
     sets = common.staged(texts.mapInArrow(_sets, "doc_id long, shingles array<long>"), "near-sets")
     named = named.join(sets, F.col("rep") == F.col("doc_id")).select("deal", *columns, "sketch", "shingles")
-    return named.groupBy("deal", "lo", "hi").applyInArrow(_met, "a long, b long").distinct()
+    return named.groupBy("deal", "lo", "hi").applyInArrow(lambda g: _met(g), "a long, b long").distinct()
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -167,6 +167,7 @@ def _first(span: int, gram: int) -> np.dtype:
     return np.dtype([("doc", "<i8"), ("tie", "<i8"), ("pos", "<i8"), ("far", "u1"), ("mask", "u1", (-(-(span - gram + 1) // 8),))])
 
 
+@common.released
 def announce(key, texts: pa.Table, messages: pa.Table, span: int, gram: int, buckets: int) -> pa.Table:
     """A shard's anchors, each once, twice if it repeats here."""
     s = Shard(texts, messages)
@@ -183,6 +184,7 @@ def announce(key, texts: pa.Table, messages: pa.Table, span: int, gram: int, buc
     return _messages(_dealt(key[0].as_py(), 1, h, h.astype("<u8"), buckets))
 
 
+@common.released
 def pick(key, messages: pa.Table) -> pa.Table:
     """A bucket's repeated anchors, back to each shard that has them."""
     shards = np.array(messages.column("shard").to_pylist(), np.int64)
@@ -197,6 +199,7 @@ def pick(key, messages: pa.Table) -> pa.Table:
     return _messages(rows)
 
 
+@common.released
 def surroundings(key, texts: pa.Table, messages: pa.Table, span: int, gram: int, buckets: int) -> pa.Table:
     """For each repeated anchor, the distinct surroundings here with the first place of each."""
     s = Shard(texts, messages)
@@ -240,6 +243,7 @@ def _distinct(s: Shard, h: np.ndarray, place: np.ndarray, lo: np.ndarray, hi: np
     return np.sort(order[first])
 
 
+@common.released
 def settle(key, messages: pa.Table, span: int, gram: int) -> pa.Table:
     """The places that come first with their surrounding, and which of their strings occur earlier all the same; to their shards."""
     kind = _entry(span, gram)
@@ -317,6 +321,7 @@ def removed(s: Shard, span: int, gram: int) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
+@common.released
 def cleaned(key, texts: pa.Table, messages: pa.Table, span: int, gram: int) -> pa.Table:
     """The shard's results."""
     s = Shard(texts, messages)
@@ -333,6 +338,7 @@ def cleaned(key, texts: pa.Table, messages: pa.Table, span: int, gram: int) -> p
     return pa.table([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
+@common.released
 def cleaned_rows(key, texts: pa.Table, messages: pa.Table, span: int, gram: int, columns: list[str]) -> pa.Table:
     """The shard's rows with all their columns: a first copy with what is left of its text, other copies with none."""
     s = Shard(texts, messages)
